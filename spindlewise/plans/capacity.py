@@ -42,24 +42,30 @@ def known_datacenter(df: DataFrame) -> DataFrame:
     )
 
 
-def capacity_by_datacenter(quarters: DataFrame) -> DataFrame:
-    """Exabytes per quarter and datacenter; all models. A drive that moved counts in both places."""
+def _doubled_bytes_by_datacenter(quarters: DataFrame) -> DataFrame:
     keys = ["year", "quarter", "datacenter", "model"]
     per_model = with_doubled_median(capacity_counts(known_datacenter(quarters), keys), keys)
-    doubled = _total(times_drives(F.col("doubled_capacity"), F.col("drives")))
     return per_model.groupBy("year", "quarter", "datacenter").agg(
-        in_unit(doubled, 2 * BYTES_PER_EB).alias("raw_storage_eb")
+        _total(times_drives(F.col("doubled_capacity"), F.col("drives"))).alias("doubled_bytes")
+    )
+
+
+def capacity_by_datacenter(quarters: DataFrame) -> DataFrame:
+    """Exabytes per quarter and datacenter; all models. A drive that moved counts in both places."""
+    return _doubled_bytes_by_datacenter(quarters).select(
+        "year", "quarter", "datacenter", in_unit(F.col("doubled_bytes"), 2 * BYTES_PER_EB).alias("raw_storage_eb")
     )
 
 
 def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:
     """One row per quarter: the total and the datacenters as text."""
+    exabytes = in_unit(F.col("doubled_bytes"), 2 * BYTES_PER_EB)
     return (
-        capacity_by_datacenter(quarters)
-        .withColumn("cell", datacenter_cell(F.col("datacenter"), F.col("raw_storage_eb")))
+        _doubled_bytes_by_datacenter(quarters)
+        .withColumn("cell", datacenter_cell(F.col("datacenter"), exabytes))
         .groupBy("year", "quarter")
         .agg(
-            F.sum("raw_storage_eb").alias("total_eb"),
+            in_unit(F.sum("doubled_bytes"), 2 * BYTES_PER_EB).alias("total_eb"),
             joined_in_order("datacenter", "cell", ", ").alias("datacenters"),
         )
     )
@@ -82,13 +88,18 @@ def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFra
         .agg(F.sum("drives").alias("drives"), F.first("model_capacity").alias("model_capacity"))
     )
     per_maker = per_model.groupBy("year", "quarter", maker_of(F.col("model_name")).alias("drive_mfr")).agg(
-        in_unit(_total(times_drives(F.col("model_capacity"), F.col("drives"))), BYTES_PER_PB).alias("raw_capacity_pb")
+        _total(times_drives(F.col("model_capacity"), F.col("drives"))).alias("maker_bytes")
     )
-    total = F.sum("raw_capacity_pb").over(Window.partitionBy("year", "quarter"))
+    quarter_bytes = F.sum("maker_bytes").over(Window.partitionBy("year", "quarter"))
+    petabytes = in_unit(F.col("maker_bytes"), BYTES_PER_PB)
+    total = in_unit(quarter_bytes, BYTES_PER_PB)
     return per_maker.select(
-        "*",
+        "year",
+        "quarter",
+        "drive_mfr",
+        petabytes.alias("raw_capacity_pb"),
         total.alias("total_pb"),
-        (F.try_divide(F.col("raw_capacity_pb"), total) * 100).alias("share_pct"),
+        (F.try_divide(petabytes, total) * 100).alias("share_pct"),
     )
 
 
