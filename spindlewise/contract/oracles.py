@@ -292,7 +292,7 @@ spans AS (
         DEPLOYMENTS,
         select="""SELECT deployed_year_quarter, mfr, model, drives_deployed_this_qtr, false AS is_subtotal FROM deployments
 UNION ALL
-SELECT deployed_year_quarter, NULL, NULL, CAST(sum(drives_deployed_this_qtr) AS BIGINT), true
+SELECT deployed_year_quarter, '(all)', '(all)', CAST(sum(drives_deployed_this_qtr) AS BIGINT), true
 FROM deployments GROUP BY deployed_year_quarter""",
     ),
     "distribution_qtr": _with(DAYS, MAPPING, DISTRIBUTION, select="SELECT * FROM distribution"),

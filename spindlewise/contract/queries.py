@@ -74,6 +74,10 @@ def afr_layout_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _fleet(spark, folder).afr_layout_stats(MIN_DRIVES).fillna("(all)", ["mfr"])
 
 
+def deployments_subtotals(spark: SparkSession, folder: str) -> DataFrame:
+    return _fleet(spark, folder).deployments_with_subtotals(DEPLOY_COUNT_MIN).fillna("(all)", ["mfr", "model"])
+
+
 def dim_constraint_checks(spark: SparkSession, folder: str) -> DataFrame:
     fleet = _fleet(spark, folder)
     models = checkpointed(fleet.drive_models())
@@ -145,7 +149,7 @@ QUERIES: dict[str, Query] = {
     "model_date_ranges": _report("model_date_ranges"),
     "models_per_mfr": _report("models_per_maker"),
     "deployments_qtr": _report("deployments", deploy_count_min=DEPLOY_COUNT_MIN),
-    "deployments_subtotals": _report("deployments_with_subtotals", deploy_count_min=DEPLOY_COUNT_MIN),
+    "deployments_subtotals": deployments_subtotals,
     "distribution_qtr": _report("distribution", min_drives=MIN_DISTRIBUTION),
     "distribution_totals": _report("distribution_with_totals", min_drives=MIN_DISTRIBUTION),
     "capacity_fleet": _report("capacity"),

@@ -2,7 +2,7 @@
 
 Three spellings of "normalized" are in use and differ on purpose:
 
-* ``normalized_model`` - strict; maker and model, unknown names are an error or null;
+* ``normalized_model`` - strict; maker and model, anything else is unknown;
 * ``dated_model`` - lenient; known families get a maker prefix, other text passes through;
 * ``maker_label`` / ``model_token`` - maker and model as two separate columns.
 """
@@ -67,25 +67,13 @@ def name_tokens(raw: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(raw, r"\s+", " ")), " ")
 
 
-def normalized_model(raw: Column, on_unknown: str = "error") -> Column:
-    """``<maker> <model>`` of a raw model name.
-
-    ``on_unknown="error"`` fails the job on a name no rule covers; ``"null"`` yields null so the
-    row can be set aside.
-    """
-    if on_unknown not in ("error", "null"):
-        raise ValueError(f"on_unknown is 'error' or 'null', not {on_unknown!r}")
-    tokens = name_tokens(raw)
-    first, second = tokens.getItem(0), F.get(tokens, F.lit(1))
-
-    spellings = F.create_map(*[F.lit(text) for pair in MAKER_SPELLINGS.items() for text in pair])
-    maker = F.coalesce(F.try_element_at(spellings, first), first)
+def normalized_model(tokens: Column, unknown: Column) -> Column:
+    """``<maker> <model>`` from the tokens of a raw name; ``unknown`` where no rule covers them."""
+    first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
     bare_maker = first_label(first, PREFIXLESS_MODELS)
-
-    unknown = F.lit(None).cast("string")
-    if on_unknown == "error":
-        message = F.concat(F.lit("no maker known for drive model '"), raw, F.lit("'"))
-        unknown = F.raise_error(message).cast("string")
+    maker = first
+    for spelling, name in MAKER_SPELLINGS.items():
+        maker = F.when(first == spelling, F.lit(name)).otherwise(maker)
     return (
         F.when((F.size(tokens) == 1) & bare_maker.isNotNull(), F.concat_ws(" ", bare_maker, first))
         .when((F.size(tokens) == 2) & maker.isin(KNOWN_MAKERS), F.concat_ws(" ", maker, second))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindlewise.functions.calendar import quarter_text, service_quarter, service_year
-from spindlewise.functions.names import maker_of, model_of, normalized_model
+from spindlewise.functions.names import maker_of, model_of
 from spindlewise.functions.units import annualized_failure_percent
+from spindlewise.operators.naming import with_model_name
 from spindlewise.operators.newest import newest_in
 from spindlewise.operators.shared import checkpointed
 from spindlewise.operators.summary import regroup_spans
@@ -25,11 +26,6 @@ WIDE_MEASURES = {
 }
 
 
-def _named(df: DataFrame, on_unknown: str) -> DataFrame:
-    named = df.withColumn("model_name", normalized_model(F.col("model"), on_unknown))
-    return named if on_unknown == "error" else named.filter(F.col("model_name").isNotNull())
-
-
 def afr_quarterly(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
     """Drives, drive-days and failures per normalized model and quarter.
 
@@ -37,7 +33,7 @@ def afr_quarterly(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
     """
     keys = ["model_name", "year", "quarter"]
     per_drive = (
-        _named(quarters, on_unknown)
+        with_model_name(quarters, on_unknown)
         .groupBy(*keys, "serial_number")
         .agg(F.sum("drive_days").alias("drive_days"), F.sum("failures").alias("failures"))
     )
@@ -53,7 +49,7 @@ def afr_quarterly(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
 
 def drive_lifetimes(spans: DataFrame, on_unknown: str = "error") -> DataFrame:
     """First and last day each drive was seen, under its normalized model."""
-    lifetimes = regroup_spans(_named(spans, on_unknown), "model_name", "serial_number")
+    lifetimes = regroup_spans(with_model_name(spans, on_unknown), "model_name", "serial_number")
     return lifetimes.withColumnsRenamed({"first_date": "first_seen", "last_date": "last_seen"})
 
 
@@ -88,10 +84,10 @@ def _enriched_with_newest(quarters: DataFrame, on_unknown: str) -> tuple[DataFra
     are marked on those rows and summed with the other measures: one pass over the drive
     histories instead of three aggregations joined by model and quarter.
     """
-    drive = Window.partitionBy("model_name", "serial_number")
-    history = drive.orderBy("year", "quarter")
-    this_quarter = F.struct("year", "quarter")
-    marked = _named(quarters, on_unknown).select(
+    history = Window.partitionBy("model_name", "serial_number").orderBy("year", "quarter")
+    to_date = history.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    this_quarter = F.col("year") * 4 + F.col("quarter")
+    marked = with_model_name(quarters, on_unknown).select(
         "model_name",
         "serial_number",
         "year",
@@ -100,11 +96,11 @@ def _enriched_with_newest(quarters: DataFrame, on_unknown: str) -> tuple[DataFra
         "failures",
         F.lag(this_quarter).over(history).alias("previous"),
         F.lead(this_quarter).over(history).alias("next"),
-        F.max("last_date").over(drive).alias("last_seen"),
+        F.max("last_date").over(to_date).alias("last_seen"),
     )
     is_drive = F.col("serial_number").isNotNull()
     # several rows of one drive and quarter are one drive
-    opens_quarter = F.col("previous").isNull() | (F.col("previous") != this_quarter)
+    opens_quarter = F.col("previous").isNull() | (F.col("previous") < this_quarter)
     by_closing_day = (
         marked.withColumn("closing_day", F.when(F.col("next").isNull(), F.col("last_seen")))
         .groupBy("model_name", "year", "quarter", "closing_day")

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindlewise.functions.names import maker_of, normalized_model
+from spindlewise.functions.names import maker_of
 from spindlewise.functions.text import datacenter_cell, joined_in_order, maker_cell
 from spindlewise.functions.units import BYTES_PER_EB, BYTES_PER_PB, in_unit, times_drives
 from spindlewise.operators.capacity import capacity_counts, most_frequent, with_doubled_median, with_mode
+from spindlewise.operators.naming import with_model_name
 
 MIN_DATACENTER_LENGTH = 4
 
@@ -74,8 +75,7 @@ def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:
 def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
     """Petabytes per quarter and drive maker, with the quarter's total and the maker's share."""
     keys = ["model_name", "year", "quarter"]
-    named = quarters.withColumn("model_name", normalized_model(F.col("model"), on_unknown))
-    counts = capacity_counts(named.filter(F.col("model_name").isNotNull()), keys)
+    counts = capacity_counts(with_model_name(quarters, on_unknown), keys)
 
     # models x quarters x capacities by now: small, and in place by model for all that follows
     model = Window.partitionBy("model_name")

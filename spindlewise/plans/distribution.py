@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindlewise.functions.names import normalized_model
+from spindlewise.operators.naming import with_model_name
 
 
 def distribution(quarters: DataFrame, min_drives: int = 0, on_unknown: str = "error") -> DataFrame:
     """Distinct drives per quarter and normalized model; a missing serial number is no drive."""
     keys = ["year", "quarter", "model_name"]
-    named = quarters.withColumn("model_name", normalized_model(F.col("model"), on_unknown))
     return (
-        named.filter(F.col("model_name").isNotNull())
+        with_model_name(quarters, on_unknown)
         .select(*keys, "serial_number")
         .distinct()
         .groupBy(*keys)

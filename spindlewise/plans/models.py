@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlewise.functions.names import normalized_model
+from spindlewise.operators.naming import with_model_name
 from spindlewise.operators.summary import only_models
 
 
@@ -16,9 +16,8 @@ def candidate_models(df: DataFrame, patterns: list[str]) -> DataFrame:
 
 def model_mapping(df: DataFrame, patterns: list[str], on_unknown: str = "error") -> DataFrame:
     """Raw model name -> normalized name, for every candidate model."""
-    raw = F.col("drive_model_name_smart")
-    return candidate_models(df, patterns).withColumn(
-        "drive_model_name_normalized", normalized_model(raw, on_unknown)
+    return with_model_name(
+        candidate_models(df, patterns), on_unknown, "drive_model_name_smart", "drive_model_name_normalized"
     )
 
 
