@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import json
+
+from pyspark.sql import SparkSession
 
 # Which models the reports cover.
 FLEET_MODELS = [
@@ -75,22 +76,21 @@ def read_patterns(spark: SparkSession, path: str) -> list[str]:
 
     The list becomes part of the query text, so it is read while the query is put together.
     """
-    return _parsed(spark, path, "array<string>")
+    return _document(spark, path, list)
 
 
 def read_labels(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(pattern, label) pairs, in file order, from a JSON object ``{pattern: label}``."""
-    return list(_parsed(spark, path, "map<string,string>").items())
+    return list(_document(spark, path, dict).items())
 
 
 def read_families(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Family -> patterns from a JSON object of lists."""
-    return _parsed(spark, path, "map<string,array<string>>")
+    return _document(spark, path, dict)
 
 
-def _parsed(spark: SparkSession, path: str, ddl: str):
-    document: DataFrame = spark.read.text(path, wholetext=True)
-    value = document.select(F.from_json("value", ddl, {"mode": "FAILFAST"})).first()[0]
-    if value is None:
-        raise ValueError(f"{path} does not hold JSON of type {ddl}")
-    return value
+def _document(spark: SparkSession, path: str, kind: type):
+    document = json.loads(spark.read.text(path, wholetext=True).first().value)
+    if not isinstance(document, kind):
+        raise ValueError(f"{path} holds a JSON {type(document).__name__}, not a {kind.__name__}")
+    return document

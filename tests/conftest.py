@@ -5,14 +5,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from spindlewise.operators.shared import checkpoint_folder  # noqa: E402
 from spindlewise.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(cores=8, shuffle_partitions=4)
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    checkpoint_folder(session)
     yield session
     session.stop()
