@@ -63,16 +63,14 @@ class DriveFleet:
         return self.stored if self.drive_days is None else self.drive_days
 
     def _quarters(self, *extra_keys: str, all_models: bool = False) -> DataFrame:
-        source = self._source if all_models else only_models(self._source, self.patterns)
-        return source if self.drive_days is None else drive_quarters(source, extra_keys)
+        quarters = self.stored if self.drive_days is None else drive_quarters(self.drive_days, extra_keys)
+        return quarters if all_models else only_models(quarters, self.patterns)
 
     def _drive_spans(self) -> DataFrame:
-        source = only_models(self._source, self.patterns)
-        return source if self.drive_days is None else drive_spans(source)
+        return only_models(self.stored if self.drive_days is None else drive_spans(self.drive_days), self.patterns)
 
     def _model_spans(self) -> DataFrame:
-        source = only_models(self._source, self.patterns)
-        return source if self.drive_days is None else model_spans(source)
+        return only_models(self.stored if self.drive_days is None else model_spans(self.drive_days), self.patterns)
 
     # models
 

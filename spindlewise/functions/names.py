@@ -63,8 +63,11 @@ def first_label(text: Column, labelled: Sequence[tuple[str, str]]) -> Column:
     return label
 
 
+WHITESPACE = " \t\n\r\f\v"
+
+
 def name_tokens(raw: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(raw, r"\s+", " ")), " ")
+    return F.split(F.trim(raw, F.lit(WHITESPACE)), r"\s+")
 
 
 def normalized_model(tokens: Column, unknown: Column) -> Column:

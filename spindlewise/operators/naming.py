@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlewise.functions.names import name_tokens, normalized_model
+from spindlewise.operators.summary import kept_on_summary
 
 
 def with_model_name(df: DataFrame, on_unknown: str = "error", raw: str = "model", name: str = "model_name") -> DataFrame:
     """Add the normalized name of the raw one.
 
     ``on_unknown="error"`` fails the job on a name no rule covers, ``"null"`` leaves it null and
-    ``"drop"`` drops its rows. Meant for summarized rows: with ``"drop"`` the optimizer checks
-    names before it summarizes, on the daily rows.
+    ``"drop"`` drops its rows.
     """
     if on_unknown not in ("error", "null", "drop"):
         raise ValueError(f"on_unknown is 'error', 'null' or 'drop', not {on_unknown!r}")
@@ -26,4 +26,4 @@ def with_model_name(df: DataFrame, on_unknown: str = "error", raw: str = "model"
         .withColumn(name, normalized_model(F.col("name_tokens"), unknown))
         .drop("name_tokens")
     )
-    return named.filter(F.col(name).isNotNull()) if on_unknown == "drop" else named
+    return kept_on_summary(named, F.col(name).isNotNull()) if on_unknown == "drop" else named

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindlewise.functions.names import matches_any
@@ -24,10 +24,20 @@ OPTIONAL_KEYS = ["datacenter", "capacity_bytes"]
 MEASURES = ["reports", "drive_days", "failures", "first_date", "last_date"]
 
 
+def kept_on_summary(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a costly condition on grouping keys, after the aggregation that made ``df``.
+
+    A condition on keys alone is moved below the aggregation: to a regular expression search
+    per drive and day, for instance, which costs more than the aggregation itself. ``reports``
+    is only known after it, and is at least one. Daily rows are filtered as they are.
+    """
+    return df.filter(F.when(F.col("reports") > 0, condition) if "reports" in df.columns else condition)
+
+
 def only_models(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Rows whose raw model name matches one of the patterns anywhere."""
+    """Rows whose raw model name matches one of the patterns anywhere; daily rows or a summary."""
     require_columns(df, ["model"])
-    return df.filter(matches_any(F.col("model"), patterns))
+    return kept_on_summary(df, matches_any(F.col("model"), patterns))
 
 
 def drive_quarters(drive_days: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
@@ -53,18 +63,28 @@ def drive_quarters(drive_days: DataFrame, extra_keys: Sequence[str] = ()) -> Dat
 
 def drive_spans(drive_days: DataFrame) -> DataFrame:
     """First and last day of each raw (model, serial), straight from the daily rows."""
-    return drive_days.groupBy("model", "serial_number").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date")
-    )
+    return _spans(drive_days, "model", "serial_number")
 
 
 def model_spans(drive_days: DataFrame) -> DataFrame:
     """First and last day of each raw model, straight from the daily rows."""
-    return drive_days.groupBy("model").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    return _spans(drive_days, "model")
+
+
+def _spans(drive_days: DataFrame, *keys: str) -> DataFrame:
+    require_columns(drive_days, [*keys, "date"])
+    return drive_days.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("reports"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
     )
 
 
+def model_counts(df: DataFrame) -> DataFrame:
+    """Distinct raw models of daily rows or a summary."""
+    return df.groupBy("model").agg(F.count(F.lit(1)).alias("reports"))
+
+
 def regroup_spans(spans: DataFrame, *keys: str) -> DataFrame:
     """Coarser spans from finer ones; any frame with first_date and last_date will do."""
     return spans.groupBy(*keys).agg(

@@ -15,6 +15,7 @@ from spindlewise.functions.text import datacenter_cell, joined_in_order, maker_c
 from spindlewise.functions.units import BYTES_PER_EB, BYTES_PER_PB, in_unit, times_drives
 from spindlewise.operators.capacity import capacity_counts, most_frequent, with_doubled_median, with_mode
 from spindlewise.operators.naming import with_model_name
+from spindlewise.operators.summary import kept_on_summary
 
 MIN_DATACENTER_LENGTH = 4
 
@@ -38,9 +39,8 @@ def capacity_fleet(quarters: DataFrame) -> DataFrame:
 def known_datacenter(df: DataFrame) -> DataFrame:
     """Rows with a usable datacenter code, in upper case."""
     code = F.upper("datacenter")
-    return df.filter(F.col("datacenter").isNotNull() & (F.length(code) >= MIN_DATACENTER_LENGTH)).withColumn(
-        "datacenter", code
-    )
+    named = kept_on_summary(df.filter(F.col("datacenter").isNotNull()), F.length(code) >= MIN_DATACENTER_LENGTH)
+    return named.withColumn("datacenter", code)
 
 
 def _doubled_bytes_by_datacenter(quarters: DataFrame) -> DataFrame:

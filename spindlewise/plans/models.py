@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlewise.operators.naming import with_model_name
-from spindlewise.operators.summary import only_models
+from spindlewise.operators.summary import model_counts, only_models
 
 
 def candidate_models(df: DataFrame, patterns: list[str]) -> DataFrame:
     """Distinct raw model names of interest."""
-    return only_models(df, patterns).select(F.col("model").alias("drive_model_name_smart")).distinct()
+    return only_models(model_counts(df), patterns).select(F.col("model").alias("drive_model_name_smart"))
 
 
 def model_mapping(df: DataFrame, patterns: list[str], on_unknown: str = "error") -> DataFrame:

@@ -5,7 +5,9 @@ import time
 
 import pytest
 
+from spindlewise import DriveFleet
 from spindlewise.contract.queries import QUERIES
+from spindlewise.sources import bridge
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,35 +34,67 @@ def settled_stages(spark):
     return now
 
 
-@pytest.mark.parametrize("name", FROM_DAILY_ROWS)
-def test_source_is_scanned_once(spark, name):
-    rows = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
-    before = settled_stages(spark)
-    QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
-    read = sum(records for stage, records in settled_stages(spark).items() if stage not in before)
-    assert read == rows * (2 if name in TWO_SCANS else 1)
-
-
 def plan_of(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_no_nested_loops_and_no_python(spark, name):
+def test_plan(spark, name):
+    rows = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    before = settled_stages(spark)
     plan = plan_of(QUERIES[name](spark, FOLDER))
+
+    if name in FROM_DAILY_ROWS:
+        read = sum(records for stage, records in settled_stages(spark).items() if stage not in before)
+        assert read == rows * (2 if name in TWO_SCANS else 1)
+
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
         assert operator not in plan
 
+    # Printed as "Window [functions], [partition keys], [order]", empty lists left out: an order
+    # as the second list means no keys. Only the change from quarter to quarter orders all rows,
+    # which are calendar quarters by then, four a year.
+    windows = re.findall(r"Window \[.*\]$", plan, re.MULTILINE)
+    unpartitioned = [w for w in windows if w.count("], [") == 1 and re.search(r"(ASC|DESC) NULLS \w+\]$", w)]
+    assert bool(unpartitioned) == (name == "capacity_fleet")
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_windows_are_partitioned(spark, name):
-    plan = plan_of(QUERIES[name](spark, FOLDER))
-    # "Window [functions], [partition keys], [order]": without keys there are two lists
-    bare = re.findall(r"Window \[.*\], \[[^\]]*(?:ASC|DESC)[^\]]*\]$", plan, re.MULTILINE)
-    bare = [line for line in bare if line.count("], [") < 2]
-    # the change from quarter to quarter orders calendar quarters, four rows a year
-    assert bool(bare) == (name == "capacity_fleet")
+
+@pytest.fixture(scope="module")
+def stored_days(spark, tmp_path_factory):
+    """A daily table whose columns the optimizer cannot see through, as it can through the bridge."""
+    path = str(tmp_path_factory.mktemp("daily") / "days")
+    bridge.drive_days(spark, FOLDER).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(
+    "report, costly",
+    [
+        ("candidate_models", "RLIKE"),
+        ("afr_cumulative", "RLIKE"),
+        ("drives_removed", "RLIKE"),
+        ("model_date_ranges", "RLIKE"),
+        ("deployments", "RLIKE"),
+        ("distribution", "split"),
+        ("capacity_by_maker", "split"),
+        ("capacity_by_datacenter", "upper"),
+    ],
+)
+@pytest.mark.parametrize("on_unknown", ["error", "drop"])
+def test_text_conditions_run_on_summaries(stored_days, report, costly, on_unknown):
+    frame = getattr(DriveFleet(stored_days, on_unknown=on_unknown), report)()
+    lines = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any(costly in line for line in lines)
+    scans = [i for i, line in enumerate(lines) if "Relation [" in line]
+    for scan in scans:
+        first_aggregate = max(i for i, line in enumerate(lines[:scan]) if "Aggregate [" in line)
+        assert not any(costly in line for line in lines[first_aggregate + 1 : scan])
+
+
+def test_missing_datacenters_are_left_to_the_scan(stored_days):
+    plan = plan_of(DriveFleet(stored_days).capacity_by_datacenter())
+    assert "PushedFilters: [IsNotNull(datacenter)]" in plan
 
 
 @pytest.mark.parametrize(
