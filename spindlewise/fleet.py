@@ -13,6 +13,7 @@ from spindlewise.operators.summary import (
     drive_spans,
     model_spans,
     only_models,
+    per_drive_quarter,
 )
 from spindlewise.plans import afr, capacity, classify, dimensions, distribution, lifecycle, models
 from spindlewise.sources.patterns import FLEET_MODELS
@@ -66,6 +67,11 @@ class DriveFleet:
         quarters = self.stored if self.drive_days is None else drive_quarters(self.drive_days, extra_keys)
         return quarters if all_models else only_models(quarters, self.patterns)
 
+    def _histories(self) -> DataFrame:
+        """Quarters for reports that order each drive's rows: few rows per drive, missing serials too."""
+        quarters = self._quarters()
+        return per_drive_quarter(quarters) if self.drive_days is None else quarters
+
     def _drive_spans(self) -> DataFrame:
         return only_models(self.stored if self.drive_days is None else drive_spans(self.drive_days), self.patterns)
 
@@ -107,10 +113,10 @@ class DriveFleet:
         return removed.orderBy("model_name", "remove_year", "remove_quarter")
 
     def afr_enriched(self) -> DataFrame:
-        return afr.afr_enriched(self._quarters(), self.on_unknown).orderBy("model_name", "year", "quarter")
+        return afr.afr_enriched(self._histories(), self.on_unknown).orderBy("model_name", "year", "quarter")
 
     def _afr_cumulative(self, min_drives: int) -> DataFrame:
-        return afr.afr_cumulative(self._quarters(), min_drives, self.on_unknown)
+        return afr.afr_cumulative(self._histories(), min_drives, self.on_unknown)
 
     def afr_cumulative(self, min_drives: int = 2000) -> DataFrame:
         return self._afr_cumulative(min_drives).orderBy("mfr", "model", "year_quarter")

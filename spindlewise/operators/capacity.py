@@ -8,57 +8,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def capacity_counts(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(``keys``, capacity_bytes) -> ``reports`` of that capacity and ``drives``.
+def drives_and_capacities(
+    quarters: DataFrame, drive_keys: Sequence[str], capacity_keys: Sequence[str]
+) -> DataFrame:
+    """Two reductions of a summary in one pass, stacked.
 
-    Each drive is counted on exactly one of its group's capacities, so ``drives`` adds up to
-    the distinct drives of the group. A missing serial number is no drive.
+    Rows with ``drive`` 1 are the distinct drives per ``drive_keys`` (0 for the missing serial
+    number, which is no drive); rows with a ``drive`` of null are the distinct capacities per
+    ``capacity_keys`` with the ``reports`` of each. Keys of the other reduction are null. Both
+    are plain grouping, so a drive or value with very many rows is reduced where it is read.
     """
-    one_drive = Window.partitionBy(*keys, "serial_number").orderBy("capacity_bytes")
-    counted_here = (F.row_number().over(one_drive) == 1) & F.col("serial_number").isNotNull()
-    return (
-        quarters.select(*keys, "capacity_bytes", "reports", counted_here.alias("counted_here"))
-        .groupBy(*keys, "capacity_bytes")
-        .agg(F.sum("reports").alias("reports"), F.count_if("counted_here").alias("drives"))
+    sets = [[*drive_keys, "serial_number"], [*capacity_keys, "capacity_bytes"]]
+    columns = dict.fromkeys(sets[0] + sets[1])
+    of_drives = F.grouping("serial_number") == 0
+    return quarters.groupingSets([[F.col(name) for name in names] for names in sets], *columns).agg(
+        F.when(of_drives, F.col("serial_number").isNotNull().cast("int")).alias("drive"),
+        F.when(~of_drives, F.sum("reports")).alias("reports"),
     )
 
 
-def most_frequent(value: str, count: str, over: WindowSpec | None = None) -> Column:
+def drive_total() -> Column:
+    return F.coalesce(F.sum("drive"), F.lit(0)).cast("bigint")
+
+
+def most_frequent(value: str, count: str) -> Column:
     """Aggregate: the value with the highest count, the lowest such value on ties, no nulls."""
     ranked = F.when(F.col(value).isNotNull(), F.struct((-F.col(count)).alias("rank"), F.col(value).alias("value")))
-    best = F.min(ranked) if over is None else F.min(ranked).over(over)
-    return best.getField("value")
+    return F.min(ranked).getField("value")
 
 
-def with_mode(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_mode(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per ``keys``: distinct ``drives`` and the ``model_capacity`` reported most often."""
-    return counts.groupBy(*keys).agg(
-        F.sum("drives").alias("drives"),
-        most_frequent("capacity_bytes", "reports").alias("model_capacity"),
+    return (
+        drives_and_capacities(quarters, keys, keys)
+        .groupBy(*keys)
+        .agg(drive_total().alias("drives"), most_frequent("capacity_bytes", "reports").alias("model_capacity"))
     )
 
 
-def with_doubled_median(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_doubled_median(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per ``keys``: distinct ``drives`` and twice the median reported capacity.
 
     Doubled, because the midpoint of two whole numbers may end in one half and byte sums are
-    kept exact. The running count needs one shuffle by ``keys``; the aggregation after it
-    finds its rows in place.
+    kept exact. Drives are added up before the values are ordered, so that a task only orders
+    the distinct capacities of a group; the aggregation after that finds its rows in place.
     """
     group = Window.partitionBy(*keys)
     upto_here = group.orderBy("capacity_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col("capacity_bytes").isNotNull(), F.col("reports")).otherwise(0)
 
-    ranked = counts.select(
-        *keys,
-        "capacity_bytes",
-        "drives",
-        F.sum(known).over(upto_here).alias("upto"),
-        F.sum(known).over(group).alias("total"),
+    ranked = (
+        drives_and_capacities(quarters, keys, keys)
+        .groupBy(*keys, "capacity_bytes")
+        .agg(drive_total().alias("drives"), F.sum("reports").alias("reports"))
+        .select(
+            *keys,
+            "capacity_bytes",
+            "drives",
+            F.sum(known).over(upto_here).alias("upto"),
+            F.sum(known).over(group).alias("total"),
+        )
     )
     # positions ceil(total / 2) and floor(total / 2) + 1: one value for an odd total, the two
     # neighbours of the midpoint for an even one

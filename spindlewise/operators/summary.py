@@ -21,7 +21,6 @@ from spindlewise.schema import require_columns
 
 KEYS = ["model", "serial_number", "year", "quarter"]
 OPTIONAL_KEYS = ["datacenter", "capacity_bytes"]
-MEASURES = ["reports", "drive_days", "failures", "first_date", "last_date"]
 
 
 def kept_on_summary(df: DataFrame, condition: Column) -> DataFrame:
@@ -61,6 +60,15 @@ def drive_quarters(drive_days: DataFrame, extra_keys: Sequence[str] = ()) -> Dat
     )
 
 
+def per_drive_quarter(quarters: DataFrame) -> DataFrame:
+    """A summary with optional keys brought back to one row per (model, serial, year, quarter)."""
+    return quarters.groupBy(*KEYS).agg(
+        *[F.sum(name).alias(name) for name in ("reports", "drive_days", "failures")],
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+    )
+
+
 def drive_spans(drive_days: DataFrame) -> DataFrame:
     """First and last day of each raw (model, serial), straight from the daily rows."""
     return _spans(drive_days, "model", "serial_number")

@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from spindlewise.functions.names import maker_of
 from spindlewise.functions.text import datacenter_cell, joined_in_order, maker_cell
 from spindlewise.functions.units import BYTES_PER_EB, BYTES_PER_PB, in_unit, times_drives
-from spindlewise.operators.capacity import capacity_counts, most_frequent, with_doubled_median, with_mode
+from spindlewise.operators.capacity import (
+    drive_total,
+    drives_and_capacities,
+    most_frequent,
+    with_doubled_median,
+    with_mode,
+)
 from spindlewise.operators.naming import with_model_name
 from spindlewise.operators.summary import kept_on_summary
 
@@ -27,8 +33,7 @@ def _total(bytes_column: Column) -> Column:
 def capacity_fleet(quarters: DataFrame) -> DataFrame:
     """Exabytes per quarter and the change from the quarter before; all models."""
     keys = ["year", "quarter", "model"]
-    per_model = with_mode(capacity_counts(quarters, keys), keys)
-    per_quarter = per_model.groupBy("year", "quarter").agg(
+    per_quarter = with_mode(quarters, keys).groupBy("year", "quarter").agg(
         in_unit(_total(times_drives(F.col("model_capacity"), F.col("drives"))), BYTES_PER_EB).alias("raw_storage_eb")
     )
     # over calendar quarters: four rows a year, whatever the size of the fleet
@@ -45,7 +50,7 @@ def known_datacenter(df: DataFrame) -> DataFrame:
 
 def _doubled_bytes_by_datacenter(quarters: DataFrame) -> DataFrame:
     keys = ["year", "quarter", "datacenter", "model"]
-    per_model = with_doubled_median(capacity_counts(known_datacenter(quarters), keys), keys)
+    per_model = with_doubled_median(known_datacenter(quarters), keys)
     return per_model.groupBy("year", "quarter", "datacenter").agg(
         _total(times_drives(F.col("doubled_capacity"), F.col("drives"))).alias("doubled_bytes")
     )
@@ -75,18 +80,15 @@ def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:
 def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
     """Petabytes per quarter and drive maker, with the quarter's total and the maker's share."""
     keys = ["model_name", "year", "quarter"]
-    counts = capacity_counts(with_model_name(quarters, on_unknown), keys)
-
-    # models x quarters x capacities by now: small, and in place by model for all that follows
-    model = Window.partitionBy("model_name")
-    of_capacity = Window.partitionBy("model_name", "capacity_bytes")
-    per_model = (
-        counts.repartition("model_name")
-        .withColumn("reports", F.sum("reports").over(of_capacity))
-        .withColumn("model_capacity", most_frequent("capacity_bytes", "reports", over=model))
+    # a row per model and quarter with its drives, and one without a quarter with the model's capacity
+    per_quarter = (
+        drives_and_capacities(with_model_name(quarters, on_unknown), keys, ["model_name"])
         .groupBy(*keys)
-        .agg(F.sum("drives").alias("drives"), F.first("model_capacity").alias("model_capacity"))
+        .agg(drive_total().alias("drives"), most_frequent("capacity_bytes", "reports").alias("capacity"))
     )
+    per_model = per_quarter.withColumn(
+        "model_capacity", F.max("capacity").over(Window.partitionBy("model_name"))
+    ).filter(F.col("year").isNotNull())
     per_maker = per_model.groupBy("year", "quarter", maker_of(F.col("model_name")).alias("drive_mfr")).agg(
         _total(times_drives(F.col("model_capacity"), F.col("drives"))).alias("maker_bytes")
     )

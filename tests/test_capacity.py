@@ -1,4 +1,3 @@
-import itertools
 import random
 import statistics
 from decimal import Decimal
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindlewise import DriveFleet
 from spindlewise.functions.units import exact_terabytes
-from spindlewise.operators.capacity import capacity_counts, with_doubled_median, with_mode
+from spindlewise.operators.capacity import with_doubled_median, with_mode
 from spindlewise.operators.summary import drive_quarters
 from tests.rows import TB, dicts, drive_days
 
@@ -23,9 +22,9 @@ def capacities(spark, values, drives=None):
 
 def mode_and_median(spark, days):
     keys = ["year", "quarter", "model"]
-    counts = capacity_counts(drive_quarters(days, ["capacity_bytes"]), keys)
-    mode = with_mode(counts, keys).first()
-    median = with_doubled_median(counts, keys).first()
+    quarters = drive_quarters(days, ["capacity_bytes"])
+    mode = with_mode(quarters, keys).first()
+    median = with_doubled_median(quarters, keys).first()
     assert mode.drives == median.drives
     return mode.model_capacity, median.doubled_capacity, mode.drives
 
@@ -59,9 +58,9 @@ def test_mode_and_median_of_random_values(spark):
         rows += [("2024-01-01", model, f"s{i}", 0, value) for i, value in enumerate(values)]
         expected[model] = (min(statistics.multimode(values)), statistics.median(values), len(values))
     keys = ["year", "quarter", "model"]
-    counts = capacity_counts(drive_quarters(drive_days(spark, rows), ["capacity_bytes"]), keys)
-    modes = {row.model: row for row in with_mode(counts, keys).collect()}
-    medians = {row.model: row for row in with_doubled_median(counts, keys).collect()}
+    quarters = drive_quarters(drive_days(spark, rows), ["capacity_bytes"])
+    modes = {row.model: row for row in with_mode(quarters, keys).collect()}
+    medians = {row.model: row for row in with_doubled_median(quarters, keys).collect()}
     got = {m: (modes[m].model_capacity, float(medians[m].doubled_capacity) / 2, modes[m].drives) for m in modes}
     assert got == expected
 
