@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from spindlewise.operators.summary import (
     per_drive_quarter,
 )
 from spindlewise.plans import afr, capacity, classify, dimensions, distribution, lifecycle, models
-from spindlewise.sources.patterns import FLEET_MODELS
+from spindlewise.sources.patterns import BRANDS, FAMILIES, FLEET_MODELS
 from spindlewise.sources.tables import open_drive_days
 
 
@@ -45,8 +45,17 @@ class DriveFleet:
         self.on_unknown = on_unknown
 
     @classmethod
-    def open(cls, spark: SparkSession, location: str, format: str = "parquet", **settings) -> DriveFleet:
-        return cls(open_drive_days(spark, location, format), **settings)
+    def open(
+        cls,
+        spark: SparkSession,
+        location: str,
+        format: str = "parquet",
+        snapshot_id: int | None = None,
+        options: Mapping[str, str] | None = None,
+        **settings,
+    ) -> DriveFleet:
+        """A fleet over a stored table; ``settings`` as for the class itself."""
+        return cls(open_drive_days(spark, location, format, snapshot_id, **(options or {})), **settings)
 
     # what the reports start from
 
@@ -89,11 +98,11 @@ class DriveFleet:
     def unknown_models(self) -> DataFrame:
         return models.unknown_models(self._source, self.patterns).orderBy("drive_model_name_smart")
 
-    def brands(self) -> DataFrame:
-        return classify.classify_brand(self._source).orderBy("model")
+    def brands(self, brands: Sequence[tuple[str, str]] = BRANDS) -> DataFrame:
+        return classify.classify_brand(self._source, brands).orderBy("model")
 
-    def families(self) -> DataFrame:
-        return classify.classify_family(self._source).orderBy("model")
+    def families(self, families: Mapping[str, Sequence[str]] = FAMILIES) -> DataFrame:
+        return classify.classify_family(self._source, families).orderBy("model")
 
     # failure rates
 
