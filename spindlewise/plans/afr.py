@@ -94,22 +94,25 @@ def _enriched_with_newest(quarters: DataFrame, on_unknown: str) -> tuple[DataFra
         "quarter",
         "drive_days",
         "failures",
+        this_quarter.alias("this"),
         F.lag(this_quarter).over(history).alias("previous"),
-        F.lead(this_quarter).over(history).alias("next"),
+        F.row_number().over(history).alias("place"),
+        F.lead(F.lit(1)).over(history).isNull().alias("is_last"),
         F.max("last_date").over(to_date).alias("last_seen"),
     )
     is_drive = F.col("serial_number").isNotNull()
-    # several rows of one drive and quarter are one drive
-    opens_quarter = F.col("previous").isNull() | (F.col("previous") < this_quarter)
+    # several rows of one drive and quarter are one drive; rows without a date come first
+    opens_quarter = (F.col("place") == 1) | ~F.col("previous").eqNullSafe(F.col("this"))
+    is_first = F.col("previous").isNull() & F.col("this").isNotNull()
     by_closing_day = (
-        marked.withColumn("closing_day", F.when(F.col("next").isNull(), F.col("last_seen")))
+        marked.withColumn("closing_day", F.when(F.col("is_last"), F.col("last_seen")))
         .groupBy("model_name", "year", "quarter", "closing_day")
         .agg(
             F.count_if(opens_quarter).alias("drives"),
             F.sum("drive_days").alias("drive_days"),
             F.sum("failures").alias("failures"),
-            F.count_if(F.col("previous").isNull() & is_drive).alias("deployed"),
-            F.count_if(F.col("next").isNull() & is_drive).alias("closed"),
+            F.count_if(is_first & is_drive).alias("deployed"),
+            F.count_if(F.col("is_last") & is_drive).alias("closed"),
         )
     )
     newest_day = newest_in(by_closing_day, "closing_day")

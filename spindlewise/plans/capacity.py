@@ -80,15 +80,15 @@ def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:
 def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
     """Petabytes per quarter and drive maker, with the quarter's total and the maker's share."""
     keys = ["model_name", "year", "quarter"]
-    # a row per model and quarter with its drives, and one without a quarter with the model's capacity
-    per_quarter = (
+    # a row per model and quarter with its drives, and a row per model with its capacity
+    drives_and_capacity = (
         drives_and_capacities(with_model_name(quarters, on_unknown), keys, ["model_name"])
-        .groupBy(*keys)
+        .groupBy(*keys, F.col("drive").isNotNull().alias("of_drives"))
         .agg(drive_total().alias("drives"), most_frequent("capacity_bytes", "reports").alias("capacity"))
     )
-    per_model = per_quarter.withColumn(
+    per_model = drives_and_capacity.withColumn(
         "model_capacity", F.max("capacity").over(Window.partitionBy("model_name"))
-    ).filter(F.col("year").isNotNull())
+    ).filter("of_drives")
     per_maker = per_model.groupBy("year", "quarter", maker_of(F.col("model_name")).alias("drive_mfr")).agg(
         _total(times_drives(F.col("model_capacity"), F.col("drives"))).alias("maker_bytes")
     )

@@ -19,7 +19,7 @@ def drive_days(spark, rows):
     for row in rows:
         date, model, serial, *rest = row
         failure, capacity, datacenter = (*rest, *(0, 12 * TB, "AMS5")[len(rest) :])
-        full.append((day(date), model, serial, failure, capacity, datacenter))
+        full.append((date and day(date), model, serial, failure, capacity, datacenter))
     return spark.createDataFrame(full, DRIVE_DAYS)
 
 

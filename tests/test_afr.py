@@ -108,6 +108,15 @@ def test_two_raw_names_of_one_drive(spark):
     assert {(row.model, row.drives_deployed_this_qtr) for row in reports.deployments(2).collect()} == {("HUH721212ALE604", 2)}
 
 
+def test_rows_without_a_date_open_no_quarter(spark):
+    rows = [(None, A, "a"), (None, "Seagate " + A, "a"), ("2024-01-01", A, "a"), ("2024-04-01", A, "b"), (None, A, "c")]
+    got = {
+        (r["year"], r["quarter"]): (r["qtr_unique_drives_deployed"], r["qtr_new_drives"], r["qtr_removed_drives"])
+        for r in dicts(fleet(spark, rows).afr_enriched())
+    }
+    assert got == {(None, None): (2, 0, 0), (2024, 1): (1, 1, 1), (2024, 2): (1, 1, 0)}
+
+
 def test_wide_finds_its_models(spark):
     rows = [("2024-01-01", A, "a"), ("2024-04-01", A, "a"), ("2024-04-01", B, "b")]
     wide = fleet(spark, rows).afr_wide(1)

@@ -141,6 +141,12 @@ def test_makers(spark):
     assert [row["share_pct"] for row in got] == pytest.approx([100.0, 200 / 3, 100 / 3])
 
 
+def test_rows_without_a_date_are_a_quarter_of_their_own(spark):
+    rows = [(None, A, "a", 0, TB), ("2024-01-01", A, "a", 0, TB), ("2024-01-01", A, "b", 0, 2 * TB)]
+    got = dicts(DriveFleet(drive_days(spark, rows)).capacity_by_maker())
+    assert [(row["year"], row["raw_capacity_pb"]) for row in got] == [(None, 0.001), (2024, 0.002)]
+
+
 def test_maker_text(spark):
     rows = [("2024-01-01", A, f"s{i}", 0, 10**18) for i in range(3)] + [("2024-01-01", B, "t", 0, 10**18)]
     (row,) = DriveFleet(drive_days(spark, rows)).capacity_maker_report().collect()
