@@ -22,18 +22,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
 
 
-def comparable(df: DataFrame) -> DataFrame:
+def comparable(df: DataFrame, doubles: tuple[type, ...] = (T.DoubleType, T.DecimalType)) -> DataFrame:
     """The same rows in types that read alike from either engine."""
 
-    def plain(field: T.StructField):
-        column = F.col(f"`{field.name}`")
+    def plain(field: T.StructField) -> str:
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.DateType):
-            return F.date_format(column, "yyyy-MM-dd").alias(field.name)
-        if isinstance(field.dataType, (T.DoubleType, T.DecimalType)):
-            return F.round(column.cast("double"), DIGITS).alias(field.name)
-        return column
+            return f"date_format({name}, 'yyyy-MM-dd') AS {name}"
+        if isinstance(field.dataType, doubles):
+            return f"round(CAST({name} AS DOUBLE), {DIGITS}) AS {name}"
+        return name
 
-    return df.select(*[plain(field) for field in df.schema])
+    return df.selectExpr(*[plain(field) for field in df.schema])
 
 
 def _fleet(spark: SparkSession, folder: str) -> DriveFleet:
@@ -65,9 +65,8 @@ def classify_family(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def afr_wide(spark: SparkSession, folder: str) -> DataFrame:
-    wide = _fleet(spark, folder).afr_wide(MIN_DRIVES, WIDE_MODELS)
-    counted = [name for name, kind in wide.dtypes if kind == "bigint"]
-    return comparable(wide.withColumns({name: F.col(f"`{name}`").cast("double") for name in counted}))
+    # counts too: a model out of service leaves them null
+    return comparable(_fleet(spark, folder).afr_wide(MIN_DRIVES, WIDE_MODELS), (T.DoubleType, T.LongType))
 
 
 def afr_layout_stats(spark: SparkSession, folder: str) -> DataFrame:
