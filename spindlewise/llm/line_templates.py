@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from spindlewise.llm.common import broadcast_if_small, stored
 
-VARIABLE, LEADING, MIN_WORDS, MIN_TEXTS = "<*>", 2, 5, 5
-_SPACE = r"[\x20\x09-\x0D]+"
+VARIABLE, LEADING, MIN_WORDS, MIN_TEXTS = "<*>", 4, 6, 5
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line, those with an ASCII digit masked."""
-    return F.filter(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", VARIABLE), _SPACE), lambda w: w != "")
+    """Words of a line, those with an ASCII digit masked. Lines that hold only words and spaces are split as they are."""
+    plain = F.regexp_replace(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", VARIABLE), r"[\x09-\x0D]", " ")
+    return F.array_remove(F.split(F.when(line.rlike(r"[0-9\x09-\x0D]"), plain).otherwise(line), " "), "")
 
 
 def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, min_words: int = MIN_WORDS) -> DataFrame:
