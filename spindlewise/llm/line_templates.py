@@ -60,6 +60,7 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, min_words: int = MIN_
     recurring = (
         masked.select("leaf", "template", "text_key").distinct().groupBy("leaf", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
     )
+    recurring = broadcast_if_small(stored(recurring.select("leaf", "template"), "template-texts"))
     return stored(masked.join(recurring, ["leaf", "template"]).select("text_key", "pos", "leaf", "template"), "template-recurring")
 
 
