@@ -60,18 +60,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     group has one, one row stays and ``keep_id`` is null. Other columns are not read. An empty table gives no rows.
     """
     rows = described(docs)
-    doubtful = unverified_hashes(rows)
-    flagged = (
-        rows.select("row", F.explode("recipe.hash").alias("hash")).join(doubtful, "hash", "left_semi")
-        .select("row").distinct().withColumn("by_digest", F.lit(True))
-    )
-    listed = rows.join(flagged, "row", "left").select(
-        "row",
-        "doc_id",
-        "text_sha256",
-        F.col("recipe.hash").alias("ids"),
-        F.when(F.col("by_digest"), F.col("recipe.digest")).alias("digests"),
-    )
+    listed = rows.select("row", "doc_id", "text_sha256", F.col("recipe.hash").alias("ids"), F.lit(None).cast("array<binary>").alias("digests"))
+    doubtful = stored(unverified_hashes(rows), "unverified-hashes")
+    if not doubtful.isEmpty():
+        flagged = rows.select("row", F.explode("recipe.hash").alias("hash")).join(doubtful, "hash", "left_semi").select("row").distinct()
+        digests = rows.join(flagged, "row").select("row", F.col("recipe.digest").alias("digests"))
+        listed = listed.drop("digests").join(digests, "row", "left")
     keyed = listed.withColumn("digests", F.coalesce("digests", F.array().cast("array<binary>")))
     groups = keyed.groupBy("ids", "digests").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("stays"))
     return keyed.join(groups, ["ids", "digests"]).select(
