@@ -26,15 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindlewise.llm.common import broadcast_if_small, lower_ascii, sliced, stored
+from spindlewise.llm.common import broadcast_if_small, sliced, stored
 from spindlewise.llm.graph import components
 
 WORDS, SHARE = 5, (80, 100)
 #: Lists of classes of one token up to SHORT are compared pair by pair. Tokens in HOT texts or more bypass the shuffle by
 #: token. FREQUENT tokens at most are listed, none in fewer than SHORT texts. GROUP is the size of a group of classes.
 SHORT, HOT, FREQUENT, GROUP = 16, 512, 400_000, 64
-#: Ids (8 bytes each) of classes to compare that may be broadcast; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+#: Keys (24 bytes each) of classes to compare that may be broadcast; more are joined by shuffling.
+BROADCAST_IDS = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -50,8 +50,8 @@ class _WordHash(dict):
 
 
 def tokens_of(text: bytes, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit tokens of a text whose A-Z are in lower case already."""
-    words = text.split()
+    """Sorted distinct 64-bit tokens of a text in UTF-8; of its letters A-Z only are put in lower case."""
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     codes = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -84,7 +84,10 @@ def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, text_key, class, n, tokens) of every row; texts without a word have n = 0 and no class."""
+    """(doc_id, text_key, class, n, tokens) of every row; texts without a word have n = 0 and no class.
+
+    Tokens take more room than the texts they come from, so they are computed where they are needed and not stored.
+    """
 
     def run(batches):
         hashes = _WordHash()
@@ -101,9 +104,11 @@ def sets(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "text_key", "class", "n", "tokens"],
             )
 
-    text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", text.alias("text"), _text_key().alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key binary, class long, n int, tokens binary"), "jaccard-sets")
+    return docs.select("doc_id", text.alias("text"), _text_key().alias("text_key")).mapInArrow(
+        run, f"doc_id {kind}, text_key binary, class long, n int, tokens binary"
+    )
 
 
 def frequent(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +163,7 @@ def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int)
     shared = rows.sparkSession.sparkContext.broadcast(listed)
     slices = max(16, total // 3_000_000)
     record = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4")])
-    schema = "slice int, data binary"
+    schema = "slice int, hot boolean, data binary"
 
     def post(batches):
         values, texts = shared.value
@@ -167,12 +172,15 @@ def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int)
         size = 0
 
         def send(entries: np.ndarray, hot: bool):
-            which = np.full(len(entries), -1) if hot else ((entries["token"] >> np.uint64(16)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+            place = entries["class"].view("<u8") >> np.uint64(16) if hot else entries["token"]
+            which = ((place >> np.uint64(16)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # hot tokens are dealt by class
             order = np.argsort(which, kind="stable")
             entries, which = entries[order], which[order]
             cuts = np.flatnonzero(np.diff(which)) + 1
             data = [zlib.compress(b"".join(part[f].tobytes() for f in record.names), 1) for part in np.split(entries, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(which[np.append(0, cuts)].astype(np.int32)), pa.array(data, pa.binary())], names=["slice", "data"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(which[np.append(0, cuts)].astype(np.int32)), pa.array([hot] * len(data)), pa.array(data, pa.binary())], names=["slice", "hot", "data"]
+            )
 
         def flush():
             entries = np.concatenate(held)
@@ -224,13 +232,16 @@ def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int)
         return ["long"] * len(entries), entries["class"], np.zeros(len(entries), np.int64), entries["token"].astype(np.int64), entries["n"]
 
     def meet(group: pa.Table) -> pa.Table:
-        entries = np.concatenate([read(d) for d in group.column("data").to_pylist()])
+        packed = list(zip(group.column("hot").to_pylist(), group.column("data").to_pylist()))
+        many = [read(data) for hot, data in packed if hot]
+        entries = np.concatenate([read(data) for hot, data in packed if not hot] or [np.empty(0, record)])
         entries = entries[np.lexsort((entries["class"], entries["n"], entries["token"]))]
         again = (entries["token"][1:] == entries["token"][:-1]) & (entries["class"][1:] == entries["class"][:-1])
-        entries = entries[np.append(True, ~again)]
-        starts = np.flatnonzero(np.append(True, entries["token"][1:] != entries["token"][:-1]))
+        entries = entries[np.append(np.ones(min(1, len(entries)), bool), ~again)]
+        first = np.ones(min(1, len(entries)), bool)
+        starts = np.flatnonzero(np.append(first, entries["token"][1:] != entries["token"][:-1]))
         ends = np.append(starts[1:], len(entries))
-        pairs, many = set(), []
+        pairs = set()
         for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
             if end - start > SHORT:
                 many.append(entries[start:end])
@@ -246,22 +257,17 @@ def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int)
         direct = (["pair"] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs], [0] * len(pairs), [0] * len(pairs))
         return pa.concat_tables([table(*direct), table(*rest)])
 
-    def unpacked(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield from table(*long_rows(read(data))).to_batches()
+    sent = rows.select("class", "n", "tokens").mapInArrow(post, schema)
+    return stored(sent.groupBy("slice").applyInArrow(meet, out), "jaccard-candidates")
 
-    sent = stored(rows.select("class", "n", "tokens").mapInArrow(post, schema), "jaccard-postings")
-    dealt = sent.where("slice >= 0").groupBy("slice").applyInArrow(meet, out)
-    hot = sent.where("slice < 0").select("data").mapInArrow(unpacked, out)
-    return stored(dealt.unionAll(hot), "jaccard-candidates")
 
-
-def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """One (class, n, tokens) for each of ``ids`` (class), which is stored and distinct."""
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = rows.select("class", "n", "tokens").join(some, "class", "left_semi")
-    return stored(found.dropDuplicates(["class"]), "jaccard-classes")
+def _sets_of(rows: DataFrame, narrow: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stored (class, n, tokens) for each of ``ids`` (class, stored and distinct), from one row of each class."""
+    first = narrow.join(ids, "class").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    first = stored(first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key")), "jaccard-representatives")
+    some = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    same = rows["doc_id"].eqNullSafe(some["_id"]) & (rows["text_key"] == some["_key"])
+    return stored(rows.join(some, same, "left_semi").select("class", "n", "tokens"), "jaccard-classes")
 
 
 def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -352,30 +358,38 @@ def joined(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     rows = sets(docs)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    narrow = stored(rows.drop("tokens"), "jaccard-documents")
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = postings(rows, frequent(rows, total), total)
     many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n").distinct(), "jaccard-long")
+    pairs = stored(found.where("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
+    ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(many.select("class")).distinct()
+    classes = _sets_of(rows, narrow, stored(ids, "jaccard-ids"))
+    # one comparison for each class, with the smallest of those it meets: what links needs no further one inside
     band = F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0])))
-    pivots = many.groupBy("token", band.alias("band")).agg(F.min("class").alias("pivot"))
+    pivots = stored(many.groupBy("token", band.alias("band")).agg(F.min("class").alias("pivot")), "jaccard-pivots")
     stars = many.withColumn("band", band).join(pivots, ["token", "band"]).where("class != pivot")
-    pairs = stored(
-        found.where("kind = 'pair'").select("a", "b").unionAll(stars.select(F.col("pivot").alias("a"), F.col("class").alias("b"))).distinct(), "jaccard-pairs"
-    )
-    ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(many.select("class")).distinct()
-    classes = _sets_of(rows, stored(ids, "jaccard-ids"))
-    links = stored(compared(pairs, classes), "jaccard-links")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(stars.select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+    links = stored(compared(stored(first.distinct(), "jaccard-first"), classes), "jaccard-links")
     member = components(links)
+    own = lambda k: member.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"own_{k}"))
+    apart = (
+        pairs.join(own("a"), F.col("a") == F.col("node_a"), "left").join(own("b"), F.col("b") == F.col("node_b"), "left")
+        .where(F.coalesce("own_a", "a") != F.coalesce("own_b", "b")).select("a", "b")
+    )
+    extra = compared(stored(apart, "jaccard-apart"), classes)
     if not many.isEmpty():
         membership = many.select("class").distinct().join(member, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"))
-        everyone = membership.unionAll(member.select("node", "component")).distinct()
-        extra = stored(group_links(many, stored(everyone, "jaccard-members"), classes), "jaccard-links")
-        if not extra.isEmpty():
-            member = components(links.unionAll(extra))
-    smallest = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+        everyone = stored(membership.unionAll(member.select("node", "component")).distinct(), "jaccard-members")
+        extra = extra.unionAll(group_links(many, everyone, classes))
+    extra = stored(extra, "jaccard-links")
+    if not extra.isEmpty():
+        member = components(links.unionAll(extra))
+    smallest = narrow.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     placed = smallest.join(member, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     placed = stored(placed, "jaccard-placed")
     named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id", "component")
-    return rows.select("doc_id", "text_key", "class", "n").join(named, "class", "left").select(
+    return narrow.join(named, "class", "left").select(
         "doc_id",
         "text_key",
         F.col("n").cast("long").alias("n_shingles"),
