@@ -88,45 +88,55 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merged(piece: bytes, rank) -> list[int]:
-    """Ids of a pre-token that is no token. ``rank`` gives the id of bytes, or None. n log n steps for n bytes."""
+    """Ids of a pre-token that is no token. ``rank`` gives the id of bytes, or None. n log n steps for n bytes.
+
+    A heap entry is one number: rank, place of the left part and end of the right one, so equal ranks go left to right.
+    """
     n = len(piece)
+    ids = [rank(piece[k : k + 1]) for k in range(n)]
     after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, k, k + 2) for k in range(n - 1) if (r := rank(piece[k : k + 2])) is not None]
+    shift = n.bit_length()
+    low = (1 << shift) - 1
+    heap = [((r << shift | k) << shift) | k + 2 for k in range(n - 1) if (r := rank(piece[k : k + 2])) is not None]
     heapq.heapify(heap)
-    alive = bytearray(b"\1" * n)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, left, end = heapq.heappop(heap)
+        entry = pop(heap)
+        end, left = entry & low, entry >> shift & low
         right = after[left]
-        if not alive[left] or right >= n or ends[right] != end:
+        if ids[left] is None or right >= n or ends[right] != end:
             continue  # one of the two has been merged meanwhile
-        alive[right] = 0
-        ends[left], after[left] = end, after[right]
-        if after[right] < n:
-            before[after[right]] = left
-            if (r := rank(piece[left : ends[after[right]]])) is not None:
-                heapq.heappush(heap, (r, left, ends[after[right]]))
-        if before[left] >= 0 and (r := rank(piece[before[left] : end])) is not None:
-            heapq.heappush(heap, (r, before[left], end))
-    out, at = [], 0
-    while at < n:
-        out.append(rank(piece[at : ends[at]]))
-        at = after[at]
-    return out
+        ids[left], ids[right] = entry >> 2 * shift, None
+        ends[left] = end
+        after[left] = following = after[right]
+        if following < n:
+            before[following] = left
+            if (r := rank(piece[left : ends[following]])) is not None:
+                push(heap, ((r << shift | left) << shift) | ends[following])
+        if (previous := before[left]) >= 0 and (r := rank(piece[previous:end])) is not None:
+            push(heap, ((r << shift | previous) << shift) | end)
+    return [i for i in ids if i is not None]
 
 
 class Encoder(dict):
     """Ids (32-bit, packed) of runs of text, remembered for a bounded number of different short ones.
 
     A text is cut before each space that is followed by something else than white space. The pattern starts a match at
-    every such place, whatever stands before, so runs are encoded each on its own.
+    every such place, whatever stands before, so runs are encoded each on its own. When ``most`` runs are remembered they
+    become the older half of the memory, from which those that come again return.
     """
 
-    def __init__(self, words: Vocabulary, pattern: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, words: Vocabulary, pattern: str, most: int = 300_000, longest: int = 64):
         super().__init__()
         self.rank, self.pieces, self.most, self.longest = words.rank, regex.compile(pattern).findall, most, longest
+        self.older: dict[str, bytes] = {}
         self.pair = {token: rank for token, rank in words.slots}.get  # of merges, which ask for strangers mostly
 
     def __missing__(self, run: str) -> bytes:
+        packed = self.older.pop(run, None)
+        if packed is not None:
+            self[run] = packed
+            return packed
         pieces = self.pieces(run)
         if len(pieces) == 1:
             data = run.encode()
@@ -136,6 +146,7 @@ class Encoder(dict):
             packed = b"".join(map(self.__getitem__, pieces))
         if len(run) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[run] = packed
         return packed
@@ -182,10 +193,10 @@ def decoder(words: Vocabulary, spark) -> Column:
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        token = shared.value.by_id.__getitem__
-        return pa.array(
-            [b"".join(map(token, one.values.to_pylist())) if one.is_valid else None for one in ids], type=pa.binary()
-        )
+        token, flat = shared.value.by_id.__getitem__, ids.values.to_numpy()
+        ends = ids.offsets.to_pylist()
+        found = (b"".join(map(token, flat[x:y].tolist())) for x, y in zip(ends, ends[1:]))
+        return pa.array([data if valid else None for data, valid in zip(found, ids.is_valid().to_pylist())], type=pa.binary())
 
     return decode
 
