@@ -43,7 +43,7 @@ class _WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
@@ -83,35 +83,42 @@ def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
     return SHARE[1] * both >= SHARE[0] * (n_a + n_b - both)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, class, n, tokens) of every row; texts without a word have n = 0 and no class.
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(text, doc_id, text_key) of every row; null is empty text.
 
     Tokens take more room than the texts they come from, so they are computed where they are needed and not stored.
     """
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), "doc_id", _text_key().alias("text_key"))
+
+
+def _class(tokens: np.ndarray) -> int | None:
+    """Id of a set of tokens; none of an empty one."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+
+
+def _narrowed(tokens: np.ndarray) -> np.ndarray:
+    return np.unique(tokens >> np.uint64(16))
+
+
+def described(texts: DataFrame, with_tokens: bool = False) -> DataFrame:
+    """(doc_id, text_key, class, n) of every row, and its packed tokens where asked for; without words n is 0, class null."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_key", "class", "n", "tokens"][: 4 + with_tokens]
 
     def run(batches):
         hashes = _WordHash()
-        for rows in sliced(batches, 1):
-            found = [tokens_of(text, hashes) for text in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0),
-                    rows.column(2),
-                    pa.array([xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) if len(t) else None for t in found], pa.int64()),
-                    pa.array([len(t) for t in found], pa.int32()),
-                    pa.array([_pack(np.unique(t >> np.uint64(16))) for t in found], pa.binary()),
-                ],
-                names=["doc_id", "text_key", "class", "n", "tokens"],
-            )
+        for rows in sliced(batches, 0):
+            found = [tokens_of(text, hashes) for text in rows.column(0).to_pylist()]
+            columns = [rows.column(1), rows.column(2), pa.array([_class(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int32())]
+            if with_tokens:
+                columns.append(pa.array([_pack(_narrowed(t)) for t in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text.alias("text"), _text_key().alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key binary, class long, n int, tokens binary"
-    )
+    schema = f"doc_id {kind}, text_key binary, class long, n int" + ", tokens binary" * with_tokens
+    return texts.select("text", "doc_id", "text_key").mapInArrow(run, schema)
 
 
-def frequent(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent 32-bit token prefixes, ascending, and in how many texts they are.
 
     Each task counts its texts' prefixes and sends them in compressed slices of the value range.
@@ -130,12 +137,13 @@ def frequent(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             at = [int(which[k]) for k in np.append(0, cuts)]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
-        for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                if tokens:
-                    held.append(np.unique((_unpack(tokens) >> np.uint64(16)).astype(np.uint32)))
+        hashes = _WordHash()
+        for batch in sliced(batches, 0):
+            for text in batch.column(0).to_pylist():
+                if len(tokens := tokens_of(text, hashes)):
+                    held.append((tokens >> np.uint64(32)).astype(np.uint32))
                     size += len(held[-1])
-                    if size > 6_000_000:
+                    if size > 2_000_000:
                         yield send()
                         held, size = [], 0
         if held:
@@ -152,21 +160,22 @@ def frequent(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         often = texts >= SHORT
         return pa.table({"value": pa.array(value[often].astype(np.int64)), "texts": pa.array(texts[often])})
 
-    counts = rows.select("tokens").mapInArrow(count, "slice int, data binary").groupBy("slice").applyInArrow(total_of, "value long, texts long")
+    counts = texts.select("text").mapInArrow(count, "slice int, data binary").groupBy("slice").applyInArrow(total_of, "value long, texts long")
     top = counts.orderBy(F.desc("texts"), "value").limit(FREQUENT).toPandas().sort_values("value")
     return top["value"].to_numpy(np.uint64), top["texts"].to_numpy(np.int64)
 
 
-def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
+def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
     """Stored (kind, a, b, token, n): pairs of classes to compare (kind 'pair') and postings of tokens that many classes
     share (kind 'long', class in a)."""
-    shared = rows.sparkSession.sparkContext.broadcast(listed)
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
     slices = max(16, total // 3_000_000)
     record = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4")])
     schema = "slice int, hot boolean, data binary"
 
     def post(batches):
-        values, texts = shared.value
+        values, often = shared.value
+        hashes = _WordHash()
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -187,27 +196,29 @@ def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int)
             prefix = entries["token"] >> np.uint64(16)
             at = np.searchsorted(values, prefix)
             found = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == prefix) if len(values) else np.zeros(len(prefix), bool)
-            hot = found & (texts[np.minimum(at, len(values) - 1)] >= HOT) if len(values) else found
+            hot = found & (often[np.minimum(at, len(values) - 1)] >= HOT) if len(values) else found
             for part, is_hot in ((entries[~hot], False), (entries[hot], True)):
                 if len(part):
                     yield send(part, is_hot)
 
-        for batch in batches:
-            for cls, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in sliced(batches, 0):
+            for text in batch.column(0).to_pylist():
+                whole = tokens_of(text, hashes)
+                n, cls = len(whole), _class(whole)
                 if not n or cls in seen:
                     continue
-                if len(seen) < 1_000_000:  # copies met again are only dropped early; the receiver drops the others
+                if len(seen) < 200_000:  # copies met again are only dropped early; the receiver drops the others
                     seen.add(cls)
-                tokens = _unpack(data)
+                tokens = _narrowed(whole)
                 prefix = tokens >> np.uint64(16)
                 at = np.minimum(np.searchsorted(values, prefix), max(len(values) - 1, 0))
-                rank = np.where(values[at] == prefix, texts[at], 0) if len(values) else np.zeros(len(tokens), np.int64)
+                rank = np.where(values[at] == prefix, often[at], 0) if len(values) else np.zeros(len(tokens), np.int64)
                 first = np.lexsort((tokens, rank))[: n - _needed(n) + 1]
                 entry = np.empty(len(first), record)
                 entry["token"], entry["class"], entry["n"] = tokens[first], cls, n
                 held.append(entry)
                 size += len(entry)
-                if size > 1_000_000:
+                if size > 300_000:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -257,17 +268,17 @@ def postings(rows: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int)
         direct = (["pair"] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs], [0] * len(pairs), [0] * len(pairs))
         return pa.concat_tables([table(*direct), table(*rest)])
 
-    sent = rows.select("class", "n", "tokens").mapInArrow(post, schema)
+    sent = texts.select("text").mapInArrow(post, schema)
     return stored(sent.groupBy("slice").applyInArrow(meet, out), "jaccard-candidates")
 
 
-def _sets_of(rows: DataFrame, narrow: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_of(texts: DataFrame, narrow: DataFrame, ids: DataFrame) -> DataFrame:
     """Stored (class, n, tokens) for each of ``ids`` (class, stored and distinct), from one row of each class."""
     first = narrow.join(ids, "class").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     first = stored(first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key")), "jaccard-representatives")
     some = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
-    same = rows["doc_id"].eqNullSafe(some["_id"]) & (rows["text_key"] == some["_key"])
-    return stored(rows.join(some, same, "left_semi").select("class", "n", "tokens"), "jaccard-classes")
+    same = texts["doc_id"].eqNullSafe(some["_id"]) & (texts["text_key"] == some["_key"])
+    return stored(described(texts.join(some, same, "left_semi"), with_tokens=True).select("class", "n", "tokens"), "jaccard-classes")
 
 
 def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -357,14 +368,14 @@ def joined(docs: DataFrame) -> DataFrame:
     and a component without any id has null. ``component`` names the component itself, by one of its classes. Repeated rows are of one class. Other columns are not read. An empty
     table gives no rows.
     """
-    rows = sets(docs)
-    narrow = stored(rows.drop("tokens"), "jaccard-documents")
+    texts = texts_of(docs)
+    narrow = stored(described(texts), "jaccard-documents")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = postings(rows, frequent(rows, total), total)
+    found = postings(texts, frequent(texts, total), total)
     many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n").distinct(), "jaccard-long")
     pairs = stored(found.where("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(many.select("class")).distinct()
-    classes = _sets_of(rows, narrow, stored(ids, "jaccard-ids"))
+    classes = _sets_of(texts, narrow, stored(ids, "jaccard-ids"))
     # one comparison for each class, with the smallest of those it meets: what links needs no further one inside
     band = F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0])))
     pivots = stored(many.groupBy("token", band.alias("band")).agg(F.min("class").alias("pivot")), "jaccard-pivots")
