@@ -5,7 +5,8 @@ Tokens are hashes of five-word passages; a document is its set of tokens. Equal
 * Tokens are put in one order for all: those listed as frequent last, by their frequency, the others by hash. Two sets
   that are similar enough share a token among the first ``n - ceil(0.8 n) + 1`` of each, so only those are posted.
 * Where few classes share a posted token, its pairs of like size are compared directly.
-* Where many do, each is first compared with one of them; what links makes components. Classes of a component are
+* Where many do, each is first compared with one of them, that with the largest share of frequent tokens: of copies with
+  changes of their own it is the one they were made from. What links makes components. Classes of a component are
   similar documents: they are dealt to groups of ``GROUP`` at most, and the matrix stores each group's union of tokens.
   A class of another component that shares a posted token is a query: the overlap with the union bounds the overlap with
   every member, and only groups whose bound reaches the threshold are opened. Pairs inside a component need no
@@ -123,7 +124,7 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
     Each task counts its texts' prefixes and sends them in compressed slices of the value range.
     """
-    slices = max(16, total // 2_000_000)
+    slices = max(48, total // 2_000_000)
 
     def count(batches):
         held, size = [], 0
@@ -169,8 +170,8 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
     """Stored (kind, a, b, token, n): pairs of classes to compare (kind 'pair') and postings of tokens that many classes
     share (kind 'long', class in a)."""
     shared = texts.sparkSession.sparkContext.broadcast(listed)
-    slices = max(16, total // 3_000_000)
-    record = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4")])
+    slices = max(48, total // 3_000_000)
+    record = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4"), ("score", "<u2")])
     schema = "slice int, hot boolean, data binary"
 
     def post(batches):
@@ -183,9 +184,11 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
         def send(entries: np.ndarray, hot: bool):
             place = entries["class"].view("<u8") >> np.uint64(16) if hot else entries["token"]
             which = ((place >> np.uint64(16)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # hot tokens are dealt by class
-            order = np.argsort(which, kind="stable")
+            order = np.lexsort((entries["token"], which))
             entries, which = entries[order], which[order]
             cuts = np.flatnonzero(np.diff(which)) + 1
+            entries["token"] = np.diff(entries["token"], prepend=np.uint64(0))
+            entries["token"][np.append(0, cuts)] = np.add.accumulate(entries["token"])[np.append(0, cuts)]  # each part starts anew
             data = [zlib.compress(b"".join(part[f].tobytes() for f in record.names), 1) for part in np.split(entries, cuts)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(which[np.append(0, cuts)].astype(np.int32)), pa.array([hot] * len(data)), pa.array(data, pa.binary())], names=["slice", "hot", "data"]
@@ -216,6 +219,7 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
                 first = np.lexsort((tokens, rank))[: n - _needed(n) + 1]
                 entry = np.empty(len(first), record)
                 entry["token"], entry["class"], entry["n"] = tokens[first], cls, n
+                entry["score"] = int(1000 * np.count_nonzero(rank) / len(rank))
                 held.append(entry)
                 size += len(entry)
                 if size > 300_000:
@@ -232,15 +236,16 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
             width = record[name].itemsize * len(entries)
             entries[name] = np.frombuffer(raw[at : at + width], record[name])
             at += width
+        entries["token"] = np.cumsum(entries["token"])
         return entries
 
-    out = "kind string, a long, b long, token long, n int"
+    out = "kind string, a long, b long, token long, n int, score int"
     columns = out.replace(" string", "").replace(" long", "").replace(" int", "").split(", ")
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     table = lambda *c: pa.table([pa.array(x, t) for x, t in zip(c, types)], names=columns)
 
     def long_rows(entries: np.ndarray):
-        return ["long"] * len(entries), entries["class"], np.zeros(len(entries), np.int64), entries["token"].astype(np.int64), entries["n"]
+        return ["long"] * len(entries), entries["class"], np.zeros(len(entries), np.int64), entries["token"].astype(np.int64), entries["n"], entries["score"].astype(np.int32)
 
     def meet(group: pa.Table) -> pa.Table:
         packed = list(zip(group.column("hot").to_pylist(), group.column("data").to_pylist()))
@@ -258,14 +263,14 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
                 many.append(entries[start:end])
                 continue
             some = entries[start:end].tolist()
-            for k, (_, a, n_a) in enumerate(some):
-                for _, b, n_b in some[k + 1 :]:
+            for k, (_, a, n_a, _) in enumerate(some):
+                for _, b, n_b, _ in some[k + 1 :]:
                     if n_a < _needed(n_b):
                         break
                     pairs.add((a, b) if a < b else (b, a))
         pairs = sorted(pairs)
-        rest = long_rows(np.concatenate(many)) if many else ([], [], [], [], [])
-        direct = (["pair"] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs], [0] * len(pairs), [0] * len(pairs))
+        rest = long_rows(np.concatenate(many)) if many else ([],) * 6
+        direct = (["pair"] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs], [0] * len(pairs), [0] * len(pairs), [0] * len(pairs))
         return pa.concat_tables([table(*direct), table(*rest)])
 
     sent = texts.select("text").mapInArrow(post, schema)
@@ -372,21 +377,23 @@ def joined(docs: DataFrame) -> DataFrame:
     narrow = stored(described(texts), "jaccard-documents")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = postings(texts, frequent(texts, total), total)
-    many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n").distinct(), "jaccard-long")
+    many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n", "score").distinct(), "jaccard-long")
     pairs = stored(found.where("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(many.select("class")).distinct()
     classes = _sets_of(texts, narrow, stored(ids, "jaccard-ids"))
     # one comparison for each class, with the smallest of those it meets: what links needs no further one inside
     band = F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0])))
-    pivots = stored(many.groupBy("token", band.alias("band")).agg(F.min("class").alias("pivot")), "jaccard-pivots")
+    pivots = stored(many.groupBy("token", band.alias("band")).agg(F.max_by("class", "score").alias("pivot")), "jaccard-pivots")
     stars = many.withColumn("band", band).join(pivots, ["token", "band"]).where("class != pivot")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(stars.select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-    links = stored(compared(stored(first.distinct(), "jaccard-first"), classes), "jaccard-links")
+    first = stored(first.distinct(), "jaccard-first")
+    links = stored(compared(first, classes), "jaccard-links")
     member = components(links)
     own = lambda k: member.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"own_{k}"))
     apart = (
         pairs.join(own("a"), F.col("a") == F.col("node_a"), "left").join(own("b"), F.col("b") == F.col("node_b"), "left")
         .where(F.coalesce("own_a", "a") != F.coalesce("own_b", "b")).select("a", "b")
+        .join(first, ["a", "b"], "left_anti")
     )
     extra = compared(stored(apart, "jaccard-apart"), classes)
     if not many.isEmpty():
