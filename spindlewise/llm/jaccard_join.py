@@ -7,7 +7,7 @@ Tokens are hashes of five-word passages; a document is its set of tokens. Equal
 * Where few classes share a posted token, its pairs of like size are compared directly.
 * Where many do, each is first compared with one of them, that with the largest share of frequent tokens: of copies with
   changes of their own it is the one they were made from. What links makes components. Classes of a component are
-  similar documents: they are dealt to groups of ``GROUP`` at most, and the matrix stores each group's union of tokens.
+  similar documents: they are dealt to groups of about half of ``GROUP``, and the matrix stores each group's union of tokens.
   A class of another component that shares a posted token is a query: the overlap with the union bounds the overlap with
   every member, and only groups whose bound reaches the threshold are opened. Pairs inside a component need no
   comparison, so a large group of near copies costs its size, not its square.
@@ -33,7 +33,7 @@ from spindlewise.llm.graph import components
 WORDS, SHARE = 5, (80, 100)
 #: Lists of classes of one token up to SHORT are compared pair by pair. Tokens in HOT texts or more bypass the shuffle by
 #: token. FREQUENT tokens at most are listed, none in fewer than SHORT texts. GROUP is the size of a group of classes.
-SHORT, HOT, FREQUENT, GROUP = 16, 512, 400_000, 64
+SHORT, HOT, FREQUENT, GROUP = 16, 512, 400_000, 256
 #: Keys (24 bytes each) of classes to compare that may be broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
