@@ -178,8 +178,8 @@ dim_drives AS (
 
 SNAPSHOTS = """
 log AS (
-  SELECT lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '-x.metadata.json' AS file_name,
-    lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS version, epoch_ms(o_orderdate) AS last_updated_ms,
+  SELECT printf('%019d-x.metadata.json', o_orderkey) AS file_name,
+    o_orderkey AS version, epoch_ms(o_orderdate) AS last_updated_ms,
     strftime(o_orderdate, '%Y-%m-%d') AS snapshot_date,
     year(o_orderdate) || ' Q' || quarter(o_orderdate) AS year_quarter
   FROM orders

@@ -15,6 +15,7 @@ from spindlewise.operators.summary import only_models
 from spindlewise.plans import dimensions, snapshots
 from spindlewise.sources import bridge
 from spindlewise.sources.patterns import FLEET_MODELS
+from spindlewise.sources.snapshots import NO_FILE_AGE
 from spindlewise.streaming import snapshots as snapshot_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,9 +89,7 @@ def _orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshots.snapshot_log(
-        bridge.snapshot_entries(_orders(spark, folder)), version_width=bridge.SNAPSHOT_FILE_WIDTH
-    )
+    return snapshots.snapshot_log(bridge.snapshot_entries(_orders(spark, folder)))
 
 
 def snapshot_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +107,7 @@ def snapshot_dates_qtr(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot_dates_qtr_resumed(spark: SparkSession, folder: str) -> DataFrame:
     """The calendar of the first half of the versions, brought up to date with the rest."""
     log = _log(spark, folder)
-    half = str(int(snapshots.latest_version(log)) // 2).zfill(bridge.SNAPSHOT_FILE_WIDTH)
+    half = snapshots.latest_version(log) // 2
     earlier = snapshots.snapshot_calendar(log.filter(F.col("version") <= half))
     return comparable(snapshots.updated_calendar(earlier, log, half))
 
@@ -118,14 +117,16 @@ def snapshot_dates_qtr_stream(spark: SparkSession, folder: str) -> DataFrame:
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", "4")
     orders = (
-        own.readStream.schema(_orders(own, folder).schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
+        own.readStream.schema(_orders(own, folder).schema)
+        .option("pathGlobFilter", "orders.parquet")
+        .option("maxFileAge", NO_FILE_AGE)
+        .parquet(folder)
     )
     output = new_folder(spark, "snapshot-calendar")
     snapshot_stream.update_calendar(
         bridge.snapshot_entries(orders),
         output,
         new_folder(spark, "snapshot-calendar-state"),
-        version_width=bridge.SNAPSHOT_FILE_WIDTH,
     )
     return comparable(snapshot_stream.read_calendar(spark, output))
 

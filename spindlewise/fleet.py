@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindlewise.schema import DRIVE_DAYS, as_drive_days
 from spindlewise.operators.summary import (
     OPTIONAL_KEYS,
     drive_quarters,
@@ -39,6 +40,8 @@ class DriveFleet:
     ):
         if (drive_days is None) == (summary is None):
             raise ValueError("give either the daily table or a stored summary")
+        if drive_days is not None:  # a timestamp where a day is meant would tell two sightings of a day apart
+            drive_days = as_drive_days(drive_days, [name for name in DRIVE_DAYS.fieldNames() if name in drive_days.columns])
         self.drive_days = drive_days
         self.stored = summary
         self.patterns = list(patterns)

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from spindlewise.functions.calendar import quarter_of, utc_date_of_millis
 from spindlewise.sources.snapshots import METADATA_SUFFIX
 
-VERSION_WIDTH = 5
 
+def snapshot_log(entries: DataFrame) -> DataFrame:
+    """Metadata files with version, UTC day and quarter; ``file_name`` may be a path.
 
-def snapshot_log(entries: DataFrame, version_width: int = VERSION_WIDTH) -> DataFrame:
-    """Metadata files with version, UTC day and quarter; ``file_name`` may be a path."""
+    The version is the number that the file name starts with, of any width; null where it starts with none.
+    """
     base_name = F.element_at(F.split("file_name", "/"), -1)
     day = utc_date_of_millis(F.col("last_updated_ms"))
     return entries.filter(F.col("file_name").endswith(METADATA_SUFFIX)).select(
         base_name.alias("file_name"),
-        F.substring(base_name, 1, version_width).alias("version"),
+        F.regexp_extract(base_name, r"^(\d+)", 1).try_cast("bigint").alias("version"),
         "last_updated_ms",
         day.alias("snapshot_date"),
         quarter_of(day).alias("year_quarter"),
@@ -25,9 +26,9 @@ def snapshot_log(entries: DataFrame, version_width: int = VERSION_WIDTH) -> Data
 
 
 def latest_snapshot(log: DataFrame) -> DataFrame:
-    """The log row with the last file name."""
-    row = F.struct("file_name", *[name for name in log.columns if name != "file_name"])
-    return log.agg(F.max(row).alias("latest")).select("latest.*")
+    """The log row with the highest version; of equal ones, that with the last file name."""
+    row = F.struct("version", "file_name", *[name for name in log.columns if name not in ("version", "file_name")])
+    return log.agg(F.max(row).alias("latest")).select(*[F.col(f"latest.{name}").alias(name) for name in log.columns])
 
 
 def snapshot_calendar(log: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def snapshot_calendar(log: DataFrame) -> DataFrame:
     )
 
 
-def updated_calendar(calendar: DataFrame, log: DataFrame, known_version: str | None) -> DataFrame:
+def updated_calendar(calendar: DataFrame, log: DataFrame, known_version: int | None) -> DataFrame:
     """An earlier calendar brought up to date with the log's versions after ``known_version``."""
     new = log if known_version is None else log.filter(F.col("version") > known_version)
     return (
@@ -48,6 +49,6 @@ def updated_calendar(calendar: DataFrame, log: DataFrame, known_version: str | N
     )
 
 
-def latest_version(log: DataFrame) -> str | None:
+def latest_version(log: DataFrame) -> int | None:
     """Highest version in the log: the mark up to which a calendar made from it is complete."""
     return log.agg(F.max("version")).first()[0]

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 METADATA_SUFFIX = ".metadata.json"
 
+#: The file source ignores files older than this, seen from the newest; metadata files may be copied in at any time.
+NO_FILE_AGE = "36500d"
+
 METADATA_DOCUMENT = T.StructType([T.StructField("last-updated-ms", T.LongType())])
 
 
@@ -18,7 +21,8 @@ def read_snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stream: each run sees the files added since the last one."""
-    return _entries(_json_options(spark.readStream, METADATA_DOCUMENT).json(folder))
+    reader = _json_options(spark.readStream, METADATA_DOCUMENT).option("maxFileAge", NO_FILE_AGE)
+    return _entries(reader.json(folder))
 
 
 def _json_options(reader, schema):

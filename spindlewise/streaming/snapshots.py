@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewise.plans.snapshots import VERSION_WIDTH, snapshot_calendar, snapshot_log
+from spindlewise.plans.snapshots import snapshot_calendar, snapshot_log
 
 
-def update_calendar(
-    entries: DataFrame, output: str, checkpoint: str, version_width: int = VERSION_WIDTH
-) -> None:
+def update_calendar(entries: DataFrame, output: str, checkpoint: str) -> None:
     """Fold everything new in the ``entries`` stream into the calendar table, then stop.
 
     Every batch stores the whole calendar as a partition of its own. A batch replayed after a
@@ -31,7 +29,7 @@ def update_calendar(
             .parquet(output)
         )
 
-    calendar = snapshot_calendar(snapshot_log(entries, version_width))
+    calendar = snapshot_calendar(snapshot_log(entries))
     query = (
         calendar.writeStream.outputMode("complete")
         .foreachBatch(write_batch)

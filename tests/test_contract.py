@@ -3,16 +3,19 @@
 import pytest
 
 import __spark_entry__ as contract
+from spindlewise.contract.oracles import ORACLES
+from spindlewise.contract.queries import QUERIES
 from tests.compare import duckdb_rows, spark_rows
 
 FOLDER = "/root/testdata/sf0.01"
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, name):
     got_names, got = spark_rows(contract.queries()[name](spark, FOLDER))
     want_names, want = duckdb_rows(contract.oracle_sql()[name], FOLDER)

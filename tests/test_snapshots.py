@@ -40,11 +40,11 @@ def test_files_become_a_log(spark, tmp_path):
     (folder / "snap-1.avro").write_text("not metadata")
     (folder / "v1.json").write_text("{}")
     log = snapshot_log(read_snapshot_files(spark, str(folder)))
-    assert {row.file_name: row.version for row in log.collect()} == {name: name[:5] for name in EARLIER | LATER}
+    assert {row.file_name: row.version for row in log.collect()} == {name: int(name[:5]) for name in EARLIER | LATER}
     assert rows(snapshot_calendar(log)) == ALL
     latest = latest_snapshot(log).first()
     assert (latest.file_name, latest.snapshot_date.isoformat()) == ("00010-dd.metadata.json", "2024-04-01")
-    assert latest_version(log) == "00010"
+    assert latest_version(log) == 10
 
 
 def test_paths_are_cut_to_names_and_other_files_dropped(spark):
@@ -53,7 +53,7 @@ def test_paths_are_cut_to_names_and_other_files_dropped(spark):
         "file_name string, last_updated_ms bigint",
     )
     (row,) = snapshot_log(entries).collect()
-    assert (row.file_name, row.version, row.snapshot_date.isoformat()) == ("00007-x.metadata.json", "00007", "1970-01-01")
+    assert (row.file_name, row.version, row.snapshot_date.isoformat()) == ("00007-x.metadata.json", 7, "1970-01-01")
 
 
 def test_day_is_utc_in_any_session_zone(spark):
@@ -68,11 +68,11 @@ def test_resumed_calendar_reads_new_versions_only(spark, tmp_path):
     write_files(tmp_path / "m", EARLIER)
     first = snapshot_log(read_snapshot_files(spark, str(tmp_path / "m")))
     calendar, mark = spark.createDataFrame(snapshot_calendar(first).collect()), latest_version(first)
-    assert mark == "00002"
+    assert mark == 2
     write_files(tmp_path / "m", LATER)
     everything = snapshot_log(read_snapshot_files(spark, str(tmp_path / "m")))
     assert rows(updated_calendar(calendar, everything, mark)) == ALL
-    assert rows(updated_calendar(calendar.limit(0), everything, "00003")) == ALL[1:]
+    assert rows(updated_calendar(calendar.limit(0), everything, 3)) == ALL[1:]
     assert rows(updated_calendar(calendar.limit(0), everything, None)) == ALL
 
 
@@ -87,3 +87,15 @@ def test_two_streamed_runs_equal_one_batch(spark, tmp_path):
     # nothing new: the calendar stays
     update_calendar(stream_snapshot_files(spark, str(folder)), output, state)
     assert rows(read_calendar(spark, output)) == ALL
+
+
+def test_versions_are_numbers(spark):
+    day = 86_400_000
+    names = ["99998-a", "99999-b", "100000-c"]
+    entries = spark.createDataFrame(
+        [(f"{name}.metadata.json", (19_800 + 100 * k) * day) for k, name in enumerate(names)], "file_name string, last_updated_ms long"
+    )
+    log = snapshot_log(entries)
+    assert latest_snapshot(log).first().version == latest_version(log) == 100_000
+    earlier = snapshot_calendar(log.filter("version < 100000"))
+    assert rows(updated_calendar(earlier, log, 99_999)) == rows(snapshot_calendar(log))
