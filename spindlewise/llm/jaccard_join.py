@@ -4,8 +4,10 @@ Tokens are hashes of five-word passages; a document is its set of tokens. Equal
 
 * Tokens are put in one order for all: those listed as frequent last, by their frequency, the others by hash. Two sets
   that are similar enough share a token among the first ``n - ceil(0.8 n) + 1`` of each, so only those are posted.
+  The first shared token has a place in either set, and no more is shared than what stands from there on: a token only
+  makes candidates of sets whose places leave room for the overlap that their sizes need.
 * Where few classes share a posted token, its pairs of like size are compared directly.
-* Where many do, each is first compared with one of them, that with the largest share of frequent tokens: of copies with
+* Where many do, each is first compared with one of them, that where the token has the foremost place: of copies with
   changes of their own it is the one they were made from. What links makes components. Classes of a component are
   similar documents: they are dealt to groups of about half of ``GROUP``, and the matrix stores each group's union of tokens.
   A class of another component that shares a posted token is a query: the overlap with the union bounds the overlap with
@@ -79,6 +81,11 @@ def _needed(n: int) -> int:
     return -(-SHARE[0] * n // SHARE[1])
 
 
+def _reach(n, place):
+    """A set of n tokens that first shares the one at ``place`` is similar to sets of m tokens only if 80 m is no more than this."""
+    return (SHARE[0] + SHARE[1]) * (n - place) - SHARE[0] * n
+
+
 def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return SHARE[1] * both >= SHARE[0] * (n_a + n_b - both)
@@ -167,11 +174,11 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
-    """Stored (kind, a, b, token, n): pairs of classes to compare (kind 'pair') and postings of tokens that many classes
-    share (kind 'long', class in a)."""
+    """Stored (kind, a, b, token, n, place): pairs of classes to compare (kind 'pair') and postings of tokens that many
+    classes share (kind 'long', class in a). ``place`` is the token's in its set, or the last that two bytes can name."""
     shared = texts.sparkSession.sparkContext.broadcast(listed)
     slices = max(48, total // 3_000_000)
-    record = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4"), ("score", "<u2")])
+    record = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4"), ("place", "<u2")])
     schema = "slice int, hot boolean, data binary"
 
     def post(batches):
@@ -219,7 +226,7 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
                 first = np.lexsort((tokens, rank))[: n - _needed(n) + 1]
                 entry = np.empty(len(first), record)
                 entry["token"], entry["class"], entry["n"] = tokens[first], cls, n
-                entry["score"] = int(1000 * np.count_nonzero(rank) / len(rank))
+                entry["place"] = np.minimum(np.arange(len(first)), 0xFFFF)
                 held.append(entry)
                 size += len(entry)
                 if size > 300_000:
@@ -239,13 +246,13 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
         entries["token"] = np.cumsum(entries["token"])
         return entries
 
-    out = "kind string, a long, b long, token long, n int, score int"
+    out = "kind string, a long, b long, token long, n int, place int"
     columns = out.replace(" string", "").replace(" long", "").replace(" int", "").split(", ")
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     table = lambda *c: pa.table([pa.array(x, t) for x, t in zip(c, types)], names=columns)
 
     def long_rows(entries: np.ndarray):
-        return ["long"] * len(entries), entries["class"], np.zeros(len(entries), np.int64), entries["token"].astype(np.int64), entries["n"], entries["score"].astype(np.int32)
+        return ["long"] * len(entries), entries["class"], np.zeros(len(entries), np.int64), entries["token"].astype(np.int64), entries["n"], entries["place"].astype(np.int32)
 
     def meet(group: pa.Table) -> pa.Table:
         packed = list(zip(group.column("hot").to_pylist(), group.column("data").to_pylist()))
@@ -263,11 +270,13 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
                 many.append(entries[start:end])
                 continue
             some = entries[start:end].tolist()
-            for k, (_, a, n_a, _) in enumerate(some):
-                for _, b, n_b, _ in some[k + 1 :]:
-                    if n_a < _needed(n_b):
+            for k, (_, a, n_a, p_a) in enumerate(some):
+                most = _reach(n_a, p_a)
+                for _, b, n_b, p_b in some[k + 1 :]:
+                    if n_a < _needed(n_b) or most < SHARE[0] * n_b:
                         break
-                    pairs.add((a, b) if a < b else (b, a))
+                    if _reach(n_b, p_b) >= SHARE[0] * n_a:
+                        pairs.add((a, b) if a < b else (b, a))
         pairs = sorted(pairs)
         rest = long_rows(np.concatenate(many)) if many else ([],) * 6
         direct = (["pair"] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs], [0] * len(pairs), [0] * len(pairs), [0] * len(pairs))
@@ -302,7 +311,7 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def group_links(many: DataFrame, membership: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes of different components that share a token of ``many`` (token, class, n): the matrix.
+    """Links between classes of different components that share a token of ``many`` (token, class, n, place): the matrix.
 
     ``membership`` (class, component) has every class of ``many``. Of two components the smaller one asks. A query and a
     group give one link at most, since a group's members are one component already.
@@ -314,16 +323,17 @@ def group_links(many: DataFrame, membership: DataFrame, classes: DataFrame) -> D
         .withColumn("group", F.xxhash64("component", "part"))
     )
     placed = stored(placed.select("class", "component", "size", "group"), "jaccard-groups")
-    at = many.join(placed, "class")
+    at = many.withColumn("reach", _reach(F.col("n").cast("long"), F.col("place"))).join(placed, "class")
     open_tokens = (
         at.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("components")).where("components > 1").select("token")
     )
     at = at.join(stored(open_tokens, "jaccard-open"), "token", "left_semi")
-    queries = at.select("token", F.col("class").alias("query"), F.col("n").alias("query_n"), F.col("component").alias("own"), F.col("size").alias("own_size"))
-    groups = at.groupBy("token", "group", "component", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    queries = at.select("token", F.col("class").alias("query"), F.col("n").alias("query_n"), F.col("reach").alias("query_reach"), F.col("component").alias("own"), F.col("size").alias("own_size"))
+    groups = at.groupBy("token", "group", "component", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
     asks = F.expr("(own_size, own) < (size, component)")
     like = (F.col("least") * SHARE[0] <= F.col("query_n") * SHARE[1]) & (F.col("query_n") * SHARE[0] <= F.col("most") * SHARE[1])
-    wanted = stored(queries.join(groups, "token").where(asks & like).select("query", "group").distinct(), "jaccard-queries")
+    room = (F.col("query_reach") >= F.col("least") * SHARE[0]) & (F.col("reach") >= F.col("query_n") * SHARE[0])
+    wanted = stored(queries.join(groups, "token").where(asks & like & room).select("query", "group").distinct(), "jaccard-queries")
     members = classes.join(placed.select("class", "group").join(wanted.select("group").distinct(), "group", "left_semi"), "class")
 
     def column(group: pa.Table) -> pa.Table:
@@ -377,13 +387,13 @@ def joined(docs: DataFrame) -> DataFrame:
     narrow = stored(described(texts), "jaccard-documents")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = postings(texts, frequent(texts, total), total)
-    many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n", "score").distinct(), "jaccard-long")
+    many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n", "place").distinct(), "jaccard-long")
     pairs = stored(found.where("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(many.select("class")).distinct()
     classes = _sets_of(texts, narrow, stored(ids, "jaccard-ids"))
     # one comparison for each class, with the smallest of those it meets: what links needs no further one inside
     band = F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0])))
-    pivots = stored(many.groupBy("token", band.alias("band")).agg(F.max_by("class", "score").alias("pivot")), "jaccard-pivots")
+    pivots = stored(many.groupBy("token", band.alias("band")).agg(F.min_by("class", F.struct(F.col("place") / F.col("n"), "class")).alias("pivot")), "jaccard-pivots")
     stars = many.withColumn("band", band).join(pivots, ["token", "band"]).where("class != pivot")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(stars.select(F.col("pivot").alias("a"), F.col("class").alias("b")))
     first = stored(first.distinct(), "jaccard-first")
