@@ -6,7 +6,7 @@ windows or summaries.
 
 from __future__ import annotations
 
-from spindlewise.contract.parameters import DEPLOY_COUNT_MIN, MIN_DISTRIBUTION, MIN_DRIVES, WIDE_MODELS
+from spindlewise.contract.parameters import DEPLOY_COUNT_MIN, MIN_DISTRIBUTION, MIN_DRIVES
 from spindlewise.plans.afr import WIDE_MEASURES
 from spindlewise.sources.bridge import DRIVE_DAYS_SQL
 from spindlewise.sources.patterns import BRANDS, FAMILIES, FLEET_MODELS
@@ -130,7 +130,7 @@ located AS (
 ),
 by_datacenter AS (
   SELECT CAST(year AS INTEGER) AS year, CAST(quarter AS INTEGER) AS quarter, datacenter,
-    sum(drives * capacity) / 1e18 AS eb
+    sum(drives * capacity) / 1e18 AS eb, sum(drives * CAST(2 * capacity AS HUGEINT)) AS doubled
   FROM located GROUP BY ALL
 )"""
 
@@ -146,7 +146,7 @@ per_model AS (
 ),
 by_maker AS (
   SELECT year, quarter, split_part(model_name, ' ', 1) AS drive_mfr,
-    CAST(sum(CAST(capacity_bytes AS HUGEINT) * drives) AS DOUBLE) / 1e15 AS pb
+    sum(CAST(capacity_bytes AS HUGEINT) * drives) AS bytes, CAST(bytes AS DOUBLE) / 1e15 AS pb
   FROM per_model GROUP BY ALL
 ),
 with_total AS (SELECT *, sum(pb) OVER (PARTITION BY year, quarter) AS total FROM by_maker)"""
@@ -199,12 +199,11 @@ def _first_label(labelled: list[tuple[str, str]]) -> str:
 
 
 def _wide() -> str:
-    cells = ", ".join(
-        f"round(CAST(max(CASE WHEN mfr || ' ' || model = '{name}' THEN {column} END) AS DOUBLE), 6) AS \"{name}_{measure}\""
-        for name in WIDE_MODELS
-        for measure, column in WIDE_MEASURES.items()
-    )
-    return f"SELECT service_year, service_quarter, {cells} FROM cumulative GROUP BY service_year, service_quarter"
+    values = ", ".join(f"round(CAST({column} AS DOUBLE), 6) AS {measure}_value" for measure, column in WIDE_MEASURES.items())
+    cells = ", ".join(f"max({measure}_value) AS {measure}" for measure in WIDE_MEASURES)
+    return f"""SELECT * FROM (
+  PIVOT (SELECT service_year, service_quarter, mfr || ' ' || model AS model_name, {values} FROM cumulative)
+  ON model_name USING {cells} GROUP BY service_year, service_quarter)"""
 
 
 _AFR = (DAYS, MAPPING, AFR_QUARTERLY, LIFETIMES, ENRICHED, CUMULATIVE)
@@ -321,17 +320,18 @@ drives AS (
 ),
 totals AS (
   SELECT CAST(d.year AS INTEGER) AS year, CAST(d.quarter AS INTEGER) AS quarter,
-    CAST(sum(CAST(m.capacity_bytes AS HUGEINT) * d.drives) AS DOUBLE) / 1e18 AS eb
+    sum(CAST(m.capacity_bytes AS HUGEINT) * d.drives) AS bytes, CAST(bytes AS DOUBLE) / 1e18 AS eb
   FROM drives d JOIN modes m ON m.year = d.year AND m.quarter = d.quarter AND m.model = d.model AND m.place = 1
   GROUP BY ALL
 )""",
-        select="""SELECT year, quarter, round(eb, 6) AS raw_storage_eb,
+        select="""SELECT year, quarter, CAST(bytes AS VARCHAR) AS raw_storage_bytes, round(eb, 6) AS raw_storage_eb,
   round(eb - lag(eb) OVER (ORDER BY year, quarter), 6) AS delta_eb FROM totals""",
     ),
     "capacity_by_dc": _with(
         DAYS,
         DATACENTERS,
-        select="SELECT year, quarter, datacenter, round(eb, 6) AS raw_storage_eb FROM by_datacenter",
+        select="""SELECT year, quarter, datacenter, CAST(doubled AS VARCHAR) AS doubled_bytes,
+  round(eb, 6) AS raw_storage_eb FROM by_datacenter""",
     ),
     "capacity_dc_report": _with(
         DAYS,
@@ -344,7 +344,7 @@ FROM by_datacenter GROUP BY year, quarter""",
         DAYS,
         MAPPING,
         MAKERS,
-        select="""SELECT year, quarter, drive_mfr, round(pb, 6) AS raw_capacity_pb, round(total, 6) AS total_pb,
+        select="""SELECT year, quarter, drive_mfr, CAST(bytes AS VARCHAR) AS raw_capacity_bytes, round(pb, 6) AS raw_capacity_pb, round(total, 6) AS total_pb,
   round(pb / total * 100, 6) AS share_pct FROM with_total""",
     ),
     "capacity_mfr_report": _with(
@@ -352,7 +352,7 @@ FROM by_datacenter GROUP BY year, quarter""",
         MAPPING,
         MAKERS,
         select="""SELECT year, quarter, round(max(total), 6) AS total_pb,
-  string_agg(drive_mfr || ' = ' || lpad(format('{:,.1f}', round(pb, 1)), 8, ' ')
+  string_agg(drive_mfr || ' = ' || format('{:>8}', format('{:,.1f}', round(pb, 1)))
     || ' (' || lpad(CAST(CAST(round(pb / total * 100, 0) AS INTEGER) AS VARCHAR), 3, ' ') || '%)',
     '    ' ORDER BY drive_mfr) AS makers
 FROM with_total GROUP BY year, quarter""",
@@ -366,10 +366,12 @@ FROM with_total GROUP BY year, quarter""",
         """
 model_counts AS (
   SELECT count(*) AS n, count(drive_model_smart) - count(DISTINCT drive_model_smart) AS duplicates,
+    count(drive_model_id) - count(DISTINCT drive_model_id) AS repeated,
     count(*) - count(drive_model_smart) AS nameless, count(*) - count(capacity_tb) AS sizeless FROM dim_models
 ),
 drive_counts AS (
   SELECT count(*) AS n, count(serial_number) - count(DISTINCT drive_model_id || serial_number) AS duplicates,
+    count(drive_id) - count(DISTINCT drive_id) AS repeated,
     count(*) - count(serial_number) AS serialless, count(*) - count(drive_model_id) AS modelless,
     count(*) FILTER (WHERE drive_model_id NOT IN (SELECT drive_model_id FROM dim_models)) AS orphans FROM dim_drives
 )""",
@@ -379,7 +381,9 @@ UNION ALL SELECT 'missing_model_size', sizeless, n FROM model_counts
 UNION ALL SELECT 'duplicate_drive', duplicates, n FROM drive_counts
 UNION ALL SELECT 'missing_serial_number', serialless, n FROM drive_counts
 UNION ALL SELECT 'missing_drive_model', modelless, n FROM drive_counts
-UNION ALL SELECT 'orphan_drive', orphans, n FROM drive_counts""",
+UNION ALL SELECT 'orphan_drive', orphans, n FROM drive_counts
+UNION ALL SELECT 'duplicate_drive_model_id', repeated, n FROM model_counts
+UNION ALL SELECT 'duplicate_drive_id', repeated, n FROM drive_counts""",
     ),
     "snapshot_log": _with(SNAPSHOTS, select="SELECT * FROM log"),
     "snapshot_latest": _with(SNAPSHOTS, select="SELECT * FROM log WHERE file_name = (SELECT max(file_name) FROM log)"),

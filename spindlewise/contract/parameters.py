@@ -3,14 +3,3 @@
 MIN_DRIVES = 50
 MIN_DISTRIBUTION = 10
 DEPLOY_COUNT_MIN = 5
-
-# models of the bridge that the wide report lays out side by side
-WIDE_MODELS = [
-    "Seagate ST12000NM0007",
-    "Seagate ST16000NM001G",
-    "Seagate ST24000NM002H",
-    "Toshiba MG07ACA14TA",
-    "Toshiba MG08ACA16TEY",
-    "WDC/HGST HUH721212ALE604",
-    "WDC/HGST WUH721816ALE6L4",
-]

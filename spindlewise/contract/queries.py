@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindlewise.contract.parameters import DEPLOY_COUNT_MIN, MIN_DISTRIBUTION, MIN_DRIVES, WIDE_MODELS
+from spindlewise.contract.parameters import DEPLOY_COUNT_MIN, MIN_DISTRIBUTION, MIN_DRIVES
 from spindlewise.fleet import DriveFleet
-from spindlewise.operators.shared import checkpointed, new_folder
+from spindlewise.operators.shared import CHECKPOINT_SETTING, checkpointed, new_folder
 from spindlewise.operators.summary import only_models
 from spindlewise.plans import dimensions, snapshots
 from spindlewise.sources import bridge
@@ -24,12 +25,14 @@ DIGITS = 6
 
 
 def comparable(df: DataFrame, doubles: tuple[type, ...] = (T.DoubleType, T.DecimalType)) -> DataFrame:
-    """The same rows in types that read alike from either engine."""
+    """The same rows in types that read alike from either engine; exact bytes become text."""
 
     def plain(field: T.StructField) -> str:
         name = f"`{field.name}`"
         if isinstance(field.dataType, T.DateType):
             return f"date_format({name}, 'yyyy-MM-dd') AS {name}"
+        if isinstance(field.dataType, T.DecimalType) and field.dataType.scale == 0:
+            return f"CAST({name} AS STRING) AS {name}"
         if isinstance(field.dataType, doubles):
             return f"round(CAST({name} AS DOUBLE), {DIGITS}) AS {name}"
         return name
@@ -41,6 +44,14 @@ def _fleet(spark: SparkSession, folder: str) -> DriveFleet:
     return DriveFleet(bridge.drive_days(spark, folder))
 
 
+def _with_folder(spark: SparkSession) -> SparkSession:
+    """A session on one machine that names no shared folder, as in tests, gets a temporary one."""
+    context = spark.sparkContext
+    if context.master.startswith("local") and not (spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spindlewise-"))
+    return spark
+
+
 def _report(method: str, **arguments) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return comparable(getattr(_fleet(spark, folder), method)(**arguments))
@@ -67,7 +78,7 @@ def classify_family(spark: SparkSession, folder: str) -> DataFrame:
 
 def afr_wide(spark: SparkSession, folder: str) -> DataFrame:
     # counts too: a model out of service leaves them null
-    return comparable(_fleet(spark, folder).afr_wide(MIN_DRIVES, WIDE_MODELS), (T.DoubleType, T.LongType))
+    return comparable(_fleet(_with_folder(spark), folder).afr_wide(MIN_DRIVES), (T.DoubleType, T.LongType))
 
 
 def afr_layout_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,9 +90,8 @@ def deployments_subtotals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dim_constraint_checks(spark: SparkSession, folder: str) -> DataFrame:
-    fleet = _fleet(spark, folder)
-    models = checkpointed(fleet.drive_models())
-    return dimensions.constraint_checks(models, checkpointed(fleet.drives(models)))
+    fleet = _fleet(_with_folder(spark), folder)
+    return dimensions.constraint_checks(checkpointed(fleet.drive_models()), checkpointed(fleet.drives()))
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,13 +124,16 @@ def snapshot_dates_qtr_resumed(spark: SparkSession, folder: str) -> DataFrame:
 
 def snapshot_dates_qtr_stream(spark: SparkSession, folder: str) -> DataFrame:
     # state is one row per quarter: a few partitions are enough
-    own = spark.newSession()
+    own = _with_folder(spark).newSession()
     own.conf.set("spark.sql.shuffle.partitions", "4")
+    parts = new_folder(spark, "order-parts")  # a batch each
+    written = _orders(spark, folder).select("o_orderkey", "o_orderdate")
+    written.repartition(3).write.parquet(parts)
     orders = (
-        own.readStream.schema(_orders(own, folder).schema)
-        .option("pathGlobFilter", "orders.parquet")
+        own.readStream.schema(written.schema)
+        .option("maxFilesPerTrigger", 1)
         .option("maxFileAge", NO_FILE_AGE)
-        .parquet(folder)
+        .parquet(parts)
     )
     output = new_folder(spark, "snapshot-calendar")
     snapshot_stream.update_calendar(

@@ -208,4 +208,4 @@ class DriveFleet:
         return dimensions.drive_models(self._daily())
 
     def drives(self, models: DataFrame | None = None) -> DataFrame:
-        return dimensions.drives(self._daily(), self.drive_models() if models is None else models)
+        return dimensions.drives(self._daily(), models)

@@ -41,12 +41,22 @@ def most_frequent(value: str, count: str) -> Column:
     return F.min(ranked).getField("value")
 
 
-def with_mode(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per ``keys``: distinct ``drives`` and the ``model_capacity`` reported most often."""
+def _counted(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drives and reports per ``keys`` and capacity (drives beside the null one), by plain sums.
+
+    What follows orders or compares values, which a hash aggregation cannot; it gets no rows of single drives.
+    """
     return (
         drives_and_capacities(quarters, keys, keys)
-        .groupBy(*keys)
-        .agg(drive_total().alias("drives"), most_frequent("capacity_bytes", "reports").alias("model_capacity"))
+        .groupBy(*keys, "capacity_bytes")
+        .agg(drive_total().alias("drives"), F.sum("reports").alias("reports"))
+    )
+
+
+def with_mode(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per ``keys``: distinct ``drives`` and the ``model_capacity`` reported most often."""
+    return _counted(quarters, keys).groupBy(*keys).agg(
+        F.sum("drives").alias("drives"), most_frequent("capacity_bytes", "reports").alias("model_capacity")
     )
 
 
@@ -54,24 +64,19 @@ def with_doubled_median(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per ``keys``: distinct ``drives`` and twice the median reported capacity.
 
     Doubled, because the midpoint of two whole numbers may end in one half and byte sums are
-    kept exact. Drives are added up before the values are ordered, so that a task only orders
-    the distinct capacities of a group; the aggregation after that finds its rows in place.
+    kept exact. A task only orders the distinct capacities of a group; the aggregation after
+    that finds its rows in place.
     """
     group = Window.partitionBy(*keys)
     upto_here = group.orderBy("capacity_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col("capacity_bytes").isNotNull(), F.col("reports")).otherwise(0)
 
-    ranked = (
-        drives_and_capacities(quarters, keys, keys)
-        .groupBy(*keys, "capacity_bytes")
-        .agg(drive_total().alias("drives"), F.sum("reports").alias("reports"))
-        .select(
-            *keys,
-            "capacity_bytes",
-            "drives",
-            F.sum(known).over(upto_here).alias("upto"),
-            F.sum(known).over(group).alias("total"),
-        )
+    ranked = _counted(quarters, keys).select(
+        *keys,
+        "capacity_bytes",
+        "drives",
+        F.sum(known).over(upto_here).alias("upto"),
+        F.sum(known).over(group).alias("total"),
     )
     # positions ceil(total / 2) and floor(total / 2) + 1: one value for an odd total, the two
     # neighbours of the midpoint for an even one

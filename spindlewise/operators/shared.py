@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,13 +12,11 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local master without one gets a temporary folder."""
+    """The shared folder the session names. There is no other choice: executors do not see each other's own folders."""
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spindlewise-")
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -28,7 +27,25 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, on any Hadoop file system, with what is in it; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and keep it in the shared folder: for small results used repeatedly."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def staged(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """``df`` computed once and kept as Parquet in the shared folder for as long as the block lasts."""
+    spark = df.sparkSession
+    path = new_folder(spark, purpose)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove_folder(spark, path)

@@ -31,10 +31,13 @@ def _total(bytes_column: Column) -> Column:
 
 
 def capacity_fleet(quarters: DataFrame) -> DataFrame:
-    """Exabytes per quarter and the change from the quarter before; all models."""
+    """Exabytes per quarter, exact bytes, and the change from the quarter before; all models."""
     keys = ["year", "quarter", "model"]
-    per_quarter = with_mode(quarters, keys).groupBy("year", "quarter").agg(
-        in_unit(_total(times_drives(F.col("model_capacity"), F.col("drives"))), BYTES_PER_EB).alias("raw_storage_eb")
+    per_quarter = (
+        with_mode(quarters, keys)
+        .groupBy("year", "quarter")
+        .agg(_total(times_drives(F.col("model_capacity"), F.col("drives"))).alias("raw_storage_bytes"))
+        .withColumn("raw_storage_eb", in_unit(F.col("raw_storage_bytes"), BYTES_PER_EB))
     )
     # over calendar quarters: four rows a year, whatever the size of the fleet
     before = F.lag("raw_storage_eb").over(Window.orderBy("year", "quarter"))
@@ -57,10 +60,12 @@ def _doubled_bytes_by_datacenter(quarters: DataFrame) -> DataFrame:
 
 
 def capacity_by_datacenter(quarters: DataFrame) -> DataFrame:
-    """Exabytes per quarter and datacenter; all models. A drive that moved counts in both places."""
-    return _doubled_bytes_by_datacenter(quarters).select(
-        "year", "quarter", "datacenter", in_unit(F.col("doubled_bytes"), 2 * BYTES_PER_EB).alias("raw_storage_eb")
-    )
+    """Exabytes and twice the exact bytes per quarter and datacenter; all models.
+
+    A drive that moved counts in both places. Bytes are doubled as a median may end in one half.
+    """
+    exabytes = in_unit(F.col("doubled_bytes"), 2 * BYTES_PER_EB)
+    return _doubled_bytes_by_datacenter(quarters).withColumn("raw_storage_eb", exabytes)
 
 
 def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:
@@ -78,13 +83,16 @@ def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:
 
 
 def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
-    """Petabytes per quarter and drive maker, with the quarter's total and the maker's share."""
+    """Petabytes and exact bytes per quarter and drive maker, with the quarter's total and the maker's share."""
     keys = ["model_name", "year", "quarter"]
     # a row per model and quarter with its drives, and a row per model with its capacity
-    drives_and_capacity = (
+    counted = (
         drives_and_capacities(with_model_name(quarters, on_unknown), keys, ["model_name"])
-        .groupBy(*keys, F.col("drive").isNotNull().alias("of_drives"))
-        .agg(drive_total().alias("drives"), most_frequent("capacity_bytes", "reports").alias("capacity"))
+        .groupBy(*keys, F.col("drive").isNotNull().alias("of_drives"), "capacity_bytes")
+        .agg(drive_total().alias("drives"), F.sum("reports").alias("reports"))
+    )
+    drives_and_capacity = counted.groupBy(*keys, "of_drives").agg(
+        F.sum("drives").alias("drives"), most_frequent("capacity_bytes", "reports").alias("capacity")
     )
     per_model = drives_and_capacity.withColumn(
         "model_capacity", F.max("capacity").over(Window.partitionBy("model_name"))
@@ -99,6 +107,7 @@ def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFra
         "year",
         "quarter",
         "drive_mfr",
+        F.col("maker_bytes").alias("raw_capacity_bytes"),
         petabytes.alias("raw_capacity_pb"),
         total.alias("total_pb"),
         (F.try_divide(petabytes, total) * 100).alias("share_pct"),

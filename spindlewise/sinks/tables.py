@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlewise.operators.shared import checkpointed
+from spindlewise.operators.shared import staged
 from spindlewise.plans.dimensions import constraint_checks
 
 
@@ -19,7 +19,7 @@ def write_report(report: DataFrame, path: str, format: str = "parquet", **option
 
 
 def write_drive_quarters(quarters: DataFrame, path: str) -> None:
-    """Store a summary by quarter. Only the quarters in the frame are replaced.
+    """Store a summary by quarter. The quarters in the frame are replaced whole, so it must hold all their days.
 
     Rows are clustered by quarter and drive first, so that a quarter becomes as many files as
     its size asks for (adaptive execution splits and merges them) and not one per task.
@@ -42,10 +42,10 @@ def require_valid(models: DataFrame, drives: DataFrame) -> None:
 
 def write_dimensions(models: DataFrame, drives: DataFrame, folder: str) -> None:
     """Both tables, fresh, once they pass the checks."""
-    models, drives = checkpointed(models), checkpointed(drives)
-    require_valid(models, drives)
-    models.write.mode("overwrite").parquet(f"{folder}/drive_models")
-    drives.write.mode("overwrite").parquet(f"{folder}/drives")
+    with staged(models, "drive-models") as models, staged(drives, "drives") as drives:
+        require_valid(models, drives)
+        models.write.mode("overwrite").parquet(f"{folder}/drive_models")
+        drives.write.mode("overwrite").parquet(f"{folder}/drives")
 
 
 def append_dimension(dimension: DataFrame, url: str, table: str, **properties: str) -> None:

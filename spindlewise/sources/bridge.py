@@ -1,7 +1,8 @@
 """Stand-in sources over the order-and-lineitem test tables, for tests, benchmarks and contract queries.
 
 The drive-day text runs unchanged on Spark SQL and DuckDB, so a report and its check in SQL
-start from the same rows.
+start from the same rows. Capacities are a thousandfold, so that small tables reach exabytes, and differ
+a little from day to day, so that their mode is not their median.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ SELECT CAST(l_shipdate AS DATE) AS date,
     WHEN 6 THEN 'TOSHIBA  MG08ACA16TEY' WHEN 7 THEN 'ST24000NM002H' WHEN 8 THEN 'ST4000DM000'
     ELSE 'HGST HMS5C4040BLE640' END AS model,
   CASE WHEN l_linenumber = 7 AND l_suppkey % 10 = 0 THEN CAST(-1 AS BIGINT) ELSE
-    CASE l_partkey % 10
+    1000 * CASE l_partkey % 10
       WHEN 0 THEN 12000138625024 WHEN 1 THEN 16000900661248 WHEN 2 THEN 12000138625024
       WHEN 3 THEN 16000900661248 WHEN 4 THEN 16000900661248 WHEN 5 THEN 14000519643136
-      WHEN 6 THEN 16000900661248 WHEN 7 THEN 24000277250048 ELSE 4000787030016 END END AS capacity_bytes,
+      WHEN 6 THEN 16000900661248 WHEN 7 THEN 24000277250048 ELSE 4000787030016 END
+    + 512 * l_linenumber END AS capacity_bytes,
   CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 AND l_suppkey % 20 = 0 THEN 1 ELSE 0 END AS failure,
   CASE l_suppkey % 6
     WHEN 0 THEN 'phx1' WHEN 1 THEN 'sac0' WHEN 2 THEN 'AMS5' WHEN 3 THEN 'iad1' WHEN 4 THEN 'x'

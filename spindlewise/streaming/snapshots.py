@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindlewise.operators.shared import remove_folder
 from spindlewise.plans.snapshots import snapshot_calendar, snapshot_log
 
 
@@ -16,7 +17,8 @@ def update_calendar(entries: DataFrame, output: str, checkpoint: str) -> None:
     """Fold everything new in the ``entries`` stream into the calendar table, then stop.
 
     Every batch stores the whole calendar as a partition of its own. A batch replayed after a
-    failure replaces its own partition, and a partition appears only when it is complete.
+    failure replaces its own partition, and a partition appears only when it is complete. The one
+    before it stays for readers who have just listed it; older ones are removed.
     """
 
     def write_batch(calendar: DataFrame, batch_id: int) -> None:
@@ -28,6 +30,7 @@ def update_calendar(entries: DataFrame, output: str, checkpoint: str) -> None:
             .partitionBy("batch")
             .parquet(output)
         )
+        remove_folder(entries.sparkSession, f"{output.rstrip('/')}/batch={batch_id - 2}")
 
     calendar = snapshot_calendar(snapshot_log(entries))
     query = (

@@ -5,11 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from spindlewise.operators.shared import CHECKPOINT_SETTING  # noqa: E402
 from spindlewise.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(cores=8, shuffle_partitions=4)
+    if not session.conf.get(CHECKPOINT_SETTING, None):
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

@@ -1,8 +1,10 @@
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
 from spindlewise import DriveFleet
+from spindlewise.operators.shared import checkpoint_folder
 from spindlewise.plans.dimensions import constraint_checks
 from spindlewise.sinks.tables import ConstraintViolation, require_valid, write_dimensions
 from tests.rows import TB, dicts, drive_days
@@ -66,18 +68,32 @@ def test_each_violation_is_counted(spark):
         "missing_serial_number": (1, 7),
         "missing_drive_model": (1, 7),
         "orphan_drive": (1, 7),
+        "duplicate_drive_model_id": (0, 5),
+        "duplicate_drive_id": (0, 7),
     }
     with pytest.raises(ConstraintViolation, match="duplicate_model: 1"):
         require_valid(models, drives)
 
 
+def test_repeated_ids_are_counted(spark):
+    models = spark.createDataFrame([("1", "m", 1.0), ("1", "n", 1.0), (None, "o", 1.0)], MODELS)
+    drives = spark.createDataFrame([("a", "1", "s"), ("a", "1", "t"), ("a", "1", "u")], DRIVES)
+    got = checks(models, drives)
+    assert got["duplicate_drive_model_id"] == (1, 3) and got["duplicate_drive_id"] == (2, 3)
+    assert got["orphan_drive"] == (0, 3)
+
+
 def test_empty_tables_break_nothing(spark):
     empty = checks(spark.createDataFrame([], MODELS), spark.createDataFrame([], DRIVES))
     assert set(empty.values()) == {(0, 0)}
 
 
+def staged_folders(spark):
+    return set(Path(checkpoint_folder(spark).removeprefix("file:")).glob("drive*"))
+
+
 def test_dimensions_are_written_only_if_valid(spark, tmp_path):
-    fleet = DriveFleet(drive_days(spark, DAYS))
+    fleet, staged_before = DriveFleet(drive_days(spark, DAYS)), staged_folders(spark)
     write_dimensions(fleet.drive_models(), fleet.drives(), str(tmp_path / "good"))
     assert spark.read.parquet(str(tmp_path / "good" / "drives")).count() == 2
     assert spark.read.parquet(str(tmp_path / "good" / "drive_models")).count() == 2
@@ -85,3 +101,4 @@ def test_dimensions_are_written_only_if_valid(spark, tmp_path):
     with pytest.raises(ConstraintViolation, match="missing_serial_number"):
         write_dimensions(nameless.drive_models(), nameless.drives(), str(tmp_path / "bad"))
     assert not (tmp_path / "bad").exists()
+    assert staged_before == staged_folders(spark)

@@ -84,6 +84,10 @@ def test_two_streamed_runs_equal_one_batch(spark, tmp_path):
     write_files(folder, LATER)
     update_calendar(stream_snapshot_files(spark, str(folder)), output, state)
     assert rows(read_calendar(spark, output)) == ALL
+    for day in (2, 3):  # the newest calendar and the one before it stay
+        write_files(folder, {f"0001{day}-ee.metadata.json": f"2024-02-0{day}T00:00:00"})
+        update_calendar(stream_snapshot_files(spark, str(folder)), output, state)
+    assert len(list((tmp_path / "calendar").glob("batch=*"))) == 2
     # nothing new: the calendar stays
     update_calendar(stream_snapshot_files(spark, str(folder)), output, state)
     assert rows(read_calendar(spark, output)) == ALL
