@@ -41,7 +41,7 @@ BROADCAST_IDS = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
-class _WordHash(dict):
+class WordHash(dict):
     """64-bit hashes of words, remembered for a bounded number of them."""
 
     def __missing__(self, word: bytes) -> int:
@@ -114,7 +114,7 @@ def described(texts: DataFrame, with_tokens: bool = False) -> DataFrame:
     names = ["doc_id", "text_key", "class", "n", "tokens"][: 4 + with_tokens]
 
     def run(batches):
-        hashes = _WordHash()
+        hashes = WordHash()
         for rows in sliced(batches, 0):
             found = [tokens_of(text, hashes) for text in rows.column(0).to_pylist()]
             columns = [rows.column(1), rows.column(2), pa.array([_class(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int32())]
@@ -145,7 +145,7 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             at = [int(which[k]) for k in np.append(0, cuts)]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
-        hashes = _WordHash()
+        hashes = WordHash()
         for batch in sliced(batches, 0):
             for text in batch.column(0).to_pylist():
                 if len(tokens := tokens_of(text, hashes)):
@@ -183,7 +183,7 @@ def postings(texts: DataFrame, listed: tuple[np.ndarray, np.ndarray], total: int
 
     def post(batches):
         values, often = shared.value
-        hashes = _WordHash()
+        hashes = WordHash()
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0

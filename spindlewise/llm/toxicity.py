@@ -12,6 +12,7 @@ by ``TrainingBounds``; scoring reads every whole text in Arrow batches and needs
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlewise.llm.common import WORD, arrow_filter, arrow_rows, crc_fold
+from spindlewise.llm.jaccard_join import WordHash, tokens_of
 
 FOLDS, HELD_OUT_FOLD = 5, 0
 _STRIP = b".,;:!?%*&$#|\"'()[]{}<>-_"
@@ -126,32 +128,28 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _distinct(rows: list[tuple[bytes, int]]) -> list[tuple[list[bytes], int]]:
+def _distinct(rows: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     """Without copies: a text that shares one of two smallest five-word passages (by hash) with an earlier one goes."""
-    seen, kept = set(), []
+    hashes, seen, kept = WordHash(), set(), []
     for text, label in rows:
-        tokens = text.lower().split()
-        passages = list(zip(*(tokens[k:] for k in range(5)))) or [tuple(tokens)]
-        marks = {min((hash((salt, x)), x) for x in passages) for salt in (1, 2)}
+        passages = tokens_of(text, hashes)
+        marks = {(salt, int((passages * np.uint64(salt)).min(initial=2**64 - 1))) for salt in (1, 0x9E3779B97F4A7C15)}
         if not marks & seen:
-            kept.append((tokens, label))
+            kept.append((text.lower(), label))
         seen |= marks
     return kept
 
 
-def _token_labels(docs: list[tuple[list[bytes], int]], least_docs: int = 3, ratio: float = 8.0) -> set[bytes]:
-    """Word beginnings that mark a token of a toxic document as toxic."""
-    hits: dict[bytes, list[int]] = {}
-    for tokens, label in docs:
-        for part in {p for token in set(tokens) for p in parts(token)}:
-            hits.setdefault(part, [0, 0])[label] += 1
-    toxic = sum(label for _, label in docs)
-    other = len(docs) - toxic
-    return {
-        part
-        for part, (clean, bad) in hits.items()
-        if bad >= least_docs and (bad + 0.5) / (toxic + 1) >= ratio * (clean + 0.5) / (other + 1)
-    }
+def _toxic_parts(sequences: list[tuple[np.ndarray, int]], flat: np.ndarray, starts: np.ndarray, least_docs: int = 3, ratio: float = 8.0) -> np.ndarray:
+    """For each part, whether it marks a token of a toxic document as toxic. Word w has the parts ``flat[starts[w]:starts[w + 1]]``."""
+    docs = np.zeros((2, int(flat.max(initial=-1)) + 1), dtype=np.int32)
+    for ids, label in sequences:
+        own = [flat[starts[w] : starts[w + 1]] for w in np.unique(ids)]
+        if own:
+            docs[label, np.unique(np.concatenate(own))] += 1
+    toxic = sum(label for _, label in sequences)
+    other = len(sequences) - toxic
+    return (docs[1] >= least_docs) & ((docs[1] + 0.5) / (toxic + 1) >= ratio * (docs[0] + 0.5) / (other + 1))
 
 
 def fit(rows: list[tuple[bytes, int]], steps: int = 50, penalty: float = 2e-5) -> Chain:
@@ -161,34 +159,35 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 50, penalty: float = 2e-5) -
     if len({label for _, label in docs}) < 2:
         return Chain({}, 0.0, 0.0, (0.0,) * 4, (), prior)
     learn = [d for k, d in enumerate(docs) if k % 4] if sum(label for _, label in docs) >= 16 else docs
-    marks = _token_labels(learn)
     words: dict[bytes, int] = {}
+    sequences = [(np.fromiter((words.setdefault(t, len(words)) for t in text.split()), dtype=np.int32), label) for text, label in learn]
     features: dict[bytes, int] = {}
-    windows: list[tuple[np.ndarray, int]] = []
-    for tokens, label in learn:
-        ids = np.array([words.setdefault(t, len(words)) for t in tokens], dtype=np.int64)
-        windows += [(ids[k : k + _WINDOW], label) for k in range(0, len(ids), _WINDOW)]
-    of_word = [[features.setdefault(p, len(features)) for p in parts(t)] for t in words]
-    marked = np.array([any(p in marks for p in parts(t)) for t in words] + [False])
-    flat = np.array([f for own in of_word for f in own], dtype=np.int64)
-    owner = np.repeat(np.arange(len(of_word)), [len(f) for f in of_word])
+    flat, sizes = array("i"), array("i")
+    for word in words:
+        own = [features.setdefault(p, len(features)) for p in parts(word)]
+        flat.extend(own)
+        sizes.append(len(own))
+    flat, owner = np.array(flat), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    marks = _toxic_parts(sequences, flat, np.append(0, np.cumsum(sizes)))
+    marked = np.append(np.bincount(owner, weights=marks[flat], minlength=len(words)) > 0, False)
+    windows = [(ids[k : k + _WINDOW], label) for ids, label in sequences for k in range(0, len(ids), _WINDOW)]
     windows.sort(key=lambda window: len(window[0]))
     groups = []
     for k in range(0, len(windows), 1024):
         part = windows[k : k + 1024]
         lengths = np.array([len(ids) for ids, _ in part])
-        at = np.full((lengths.max(), len(part)), len(words))  # the padding is a word of its own, without weight
+        at = np.full((lengths.max(), len(part)), len(words), dtype=np.int32)  # the padding is a word of its own, without weight
         for column, (ids, _) in enumerate(part):
             at[: len(ids), column] = ids
-        groups.append((at, lengths, at < len(words), (marked[at] & np.array([bool(label) for _, label in part])).astype(float)))
+        groups.append((at, lengths, at < len(words), marked[at] & np.array([bool(label) for _, label in part])))
     total = sum(len(ids) for ids, _ in windows) or 1
     w, rest = np.zeros(len(features)), np.array([-3.0, -1.0, 0.0, 0.0, 0.0, 0.0])  # bias, start, moves
     state = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(6), np.zeros(6)]
     for step in range(1, steps + 1):
         emission = np.append(rest[0] + np.bincount(owner, weights=w[flat], minlength=len(words)), 0.0)
         by_word, g = np.zeros(len(words) + 1), np.zeros(6)
-        for at, lengths, inside, gold in groups:
-            padded = emission[at]
+        for at, lengths, inside, toxic in groups:
+            padded, gold = emission[at], toxic.astype(float)
             forward, backward = _odds(padded, rest[2:], rest[1]), _backward(padded, lengths, rest[2:])
             miss = np.where(inside, gold - _sigmoid(forward + backward), 0.0)
             by_word += np.bincount(at.ravel(), weights=miss.ravel(), minlength=len(by_word))
@@ -211,7 +210,7 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 50, penalty: float = 2e-5) -
     chain = Chain(weights, float(rest[0]), float(rest[1]), tuple(map(float, rest[2:])), (), prior)
     check = [d for k, d in enumerate(docs) if not k % 4] if learn is not docs else docs
     emissions = Emissions(chain)
-    found = marginals([np.array([emissions[t] for t in tokens]) for tokens, _ in check], chain)
+    found = marginals([np.array([emissions[t] for t in text.split()]) for text, _ in check], chain)
     x, y = np.array([_summary(p) for p in found]), np.array([label for _, label in check], dtype=float)
     beta = np.array([-2.0, 1.0, 1.0, 1.0])
     for _ in range(30):  # Newton steps with a ridge, which also keeps separable labels finite
