@@ -197,6 +197,20 @@ def test_recurring_lines(spark):
     assert all(r.n_dropped == 0 for r in few.values())
 
 
+@pytest.mark.parametrize("values", [3, 12])
+def test_fields_of_a_template_stay_masked_as_it_grows(spark, values):
+    line = "This weekly note was written by {} for the readers in {}"
+    names = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(values)]
+    rare = [line.format(f"{a}x", f"{b}y") for a in names for b in names]
+    # two values that most lines have, and one line that has neither
+    usual = [line.format("most", "places")] * 9 + [line.format(f"{a}z", "places") for a in names[:3]] + [line.format("most", f"{b}w") for b in names[:3]]
+    texts = [f"{x}\nown {k:b}".replace("0", "o").replace("1", "i") for k, x in enumerate([*rare, *usual, line.format("odd", "ends")])]
+    got = line_templates.without_recurring_lines(docs(spark, texts)).collect()
+    assert all(r.n_dropped == 1 and r.text == texts[r.doc_id].split("\n")[1] for r in got)
+    shown = {r.template for r in line_templates.templates(docs(spark, texts)).collect()}
+    assert line.format("<*>", "<*>") in shown
+
+
 class _Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
