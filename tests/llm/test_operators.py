@@ -211,6 +211,15 @@ def test_fields_of_a_template_stay_masked_as_it_grows(spark, values):
     assert line.format("<*>", "<*>") in shown
 
 
+def test_short_lines_recur_and_fields_may_follow_three_words(spark):
+    names = ["ada", "bo", "cy", "dee", "eve", "flo"]
+    short = ["Released under the MIT License.", "All rights reserved", "Read more", "Page 7 of 9", "Updated on 2024"]
+    texts = ["\n".join([*short, f"From the host {x} came this short note", f"It was {x}", f"own {x}"]) for x in names]
+    for row in line_templates.without_recurring_lines(docs(spark, texts)).collect():
+        x = names[row.doc_id]
+        assert row.text == f"It was {x}\nown {x}" and row.n_dropped == 6
+
+
 class _Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
