@@ -76,10 +76,46 @@ SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
   CASE WHEN n >= 100 AND f < page_id THEN f END AS refers_to FROM firsts
 """
 
+_LICENSE_WORDS = r"regexp_extract_all(translate(coalesce({text}, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (_UPPER, _LOWER)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licenses() -> str:
+    from spindlewise.llm.license_scan import LEAST_STEP, PHRASES, TEMPLATES, THRESHOLD
+
+    phrases = ", ".join(f"(string_split('{phrase}', ' '), '{label}')" for phrase, label in PHRASES.items())
+    templates = ", ".join(f"({number}, {_quoted(t.label)}, {_quoted(t.text)})" for number, t in enumerate(TEMPLATES))
+    return f"""
+WITH base AS (SELECT doc_id, {_LICENSE_WORDS.format(text="text")} AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM base, phrases)
+  WHERE w[i:i + len(p) - 1] = p),
+named AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS first, max(i) - 1 AS last, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+given(template, label, text) AS (VALUES {templates}),
+split AS (SELECT template, label, {_LICENSE_WORDS.format(text="text")} AS w FROM given),
+sets AS (SELECT template, label, list_distinct(w) AS t, len(w) AS n FROM split),
+steps AS (SELECT *, greatest({LEAST_STEP}, CAST(pow(2, ceil(log2(n))) AS BIGINT)) AS step FROM sets),
+blocks AS (SELECT doc_id, step, list_distinct(w[k * step + 1:(k + 2) * step]) AS b FROM (
+  SELECT doc_id, w, step, unnest(range(0, CAST(ceil(len(w) / step) AS BIGINT))) AS k FROM base, (SELECT DISTINCT step FROM steps))),
+shared AS (SELECT doc_id, label, len(t) AS size, len(list_intersect(b, t)) AS overlap FROM blocks JOIN steps USING (step)),
+met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(overlap / size) AS share FROM shared
+  WHERE 100 * overlap >= {THRESHOLD} * size GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first AS first_word, last AS last_word,
+  coalesce(array_to_string(list_sort(named.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(named.labels, []), coalesce(met.labels, [])))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
+FROM base b LEFT JOIN named USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op2_chat_format": OP2,
     "op4_jaccard_join": OP4,
     "op7_exact_dedup": OP7,
     "op9_warc_zip": OP9,
+    "op11_license_scan": _licenses(),
 }

@@ -13,6 +13,7 @@ from spindlewise.llm import (
     chat_format,
     exact_dedup,
     jaccard_join,
+    license_scan,
     line_templates,
     packing,
     quality_model,
@@ -85,6 +86,20 @@ def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.licensed(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
