@@ -110,6 +110,32 @@ SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, fi
 FROM base b LEFT JOIN named USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+def _grams(n: int) -> str:
+    return f"""SELECT lang, {n} AS length, array_to_string(w[i:i + {n} - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM pieces) GROUP BY ALL HAVING count(*) >= 30"""
+
+
+OP13 = rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM
+  (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS p FROM texts)),
+grams AS ({" UNION ALL ".join(_grams(n) for n in (1, 2, 3, 4))}),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, length)) AS k FROM grams WHERE length > 1),
+halves AS (SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (h.f + t.f) AS BIGINT) AS score FROM cuts c
+  JOIN grams h ON h.lang = c.lang AND h.phrase = array_to_string(w[1:k], ' ')
+  JOIN grams t ON t.lang = c.lang AND t.phrase = array_to_string(w[k + 1:], ' ')),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM halves),
+parts AS (SELECT lang, f, w, length, i, unnest(range(2, length)) AS m FROM
+  (SELECT lang, f, string_split(phrase, ' ') AS w, length, unnest(range(1, length)) AS i FROM grams WHERE length > 2)),
+shadows AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM parts WHERE i + m - 1 <= length GROUP BY ALL),
+ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN shadows s ON s.lang = w.lang AND s.phrase = w.phrase
+  WHERE place = 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a))
+SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
 
 ORACLES = {
     "op1_quality_rules": OP1,
@@ -118,4 +144,5 @@ ORACLES = {
     "op7_exact_dedup": OP7,
     "op9_warc_zip": OP9,
     "op11_license_scan": _licenses(),
+    "op13_collocations": OP13,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spindlewise.llm import (
     byte_bpe,
     chat_format,
+    collocations,
     exact_dedup,
     jaccard_join,
     license_scan,
@@ -100,6 +101,10 @@ def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents")).drop("first_doc")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
