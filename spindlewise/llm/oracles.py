@@ -109,6 +109,19 @@ SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, fi
   CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
 FROM base b LEFT JOIN named USING (doc_id) LEFT JOIN met USING (doc_id)
 """
+OP12 = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3
+"""
+
 
 def _grams(n: int) -> str:
     return f"""SELECT lang, {n} AS length, array_to_string(w[i:i + {n} - 1], ' ') AS phrase, count(*) AS f
@@ -119,7 +132,8 @@ OP13 = rf"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM
   (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS p FROM texts)),
+-
+]')) AS p FROM texts)),
 grams AS ({" UNION ALL ".join(_grams(n) for n in (1, 2, 3, 4))}),
 totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
 cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, length)) AS k FROM grams WHERE length > 1),
@@ -144,5 +158,6 @@ ORACLES = {
     "op7_exact_dedup": OP7,
     "op9_warc_zip": OP9,
     "op11_license_scan": _licenses(),
+    "op12_hard_negatives": OP12,
     "op13_collocations": OP13,
 }

@@ -13,6 +13,7 @@ from spindlewise.llm import (
     chat_format,
     collocations,
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     license_scan,
     line_templates,
@@ -101,6 +102,12 @@ def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents")).drop("first_doc")
 
