@@ -198,12 +198,25 @@ def _first_label(labelled: list[tuple[str, str]]) -> str:
     return f"CASE {cases} ELSE '(none)' END"
 
 
+# The models of the stand-in table, by name; a pivot that finds its own cannot be a view.
+WIDE_MODELS = [
+    "Seagate ST12000NM0007",
+    "Seagate ST16000NM001G",
+    "Seagate ST24000NM002H",
+    "Toshiba MG07ACA14TA",
+    "Toshiba MG08ACA16TEY",
+    "WDC/HGST HUH721212ALE604",
+    "WDC/HGST WUH721816ALE6L4",
+]
+
+
 def _wide() -> str:
-    values = ", ".join(f"round(CAST({column} AS DOUBLE), 6) AS {measure}_value" for measure, column in WIDE_MEASURES.items())
-    cells = ", ".join(f"max({measure}_value) AS {measure}" for measure in WIDE_MEASURES)
-    return f"""SELECT * FROM (
-  PIVOT (SELECT service_year, service_quarter, mfr || ' ' || model AS model_name, {values} FROM cumulative)
-  ON model_name USING {cells} GROUP BY service_year, service_quarter)"""
+    cells = [
+        f"""max(CASE WHEN mfr || ' ' || model = '{name}' THEN round(CAST({column} AS DOUBLE), 6) END) AS "{name}_{measure}\""""
+        for name in WIDE_MODELS
+        for measure, column in WIDE_MEASURES.items()
+    ]
+    return f"SELECT service_year, service_quarter, {', '.join(cells)} FROM cumulative GROUP BY service_year, service_quarter"
 
 
 _AFR = (DAYS, MAPPING, AFR_QUARTERLY, LIFETIMES, ENRICHED, CUMULATIVE)

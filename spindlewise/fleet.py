@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindlewise.schema import DRIVE_DAYS, as_drive_days
+from spindlewise.operators.model_pass import rows_of_models
 from spindlewise.operators.summary import (
     OPTIONAL_KEYS,
     drive_quarters,
@@ -16,7 +17,7 @@ from spindlewise.operators.summary import (
     only_models,
     per_drive_quarter,
 )
-from spindlewise.plans import afr, capacity, classify, dimensions, distribution, lifecycle, models
+from spindlewise.plans import afr, afr_map, capacity, classify, dimensions, distribution, lifecycle, models
 from spindlewise.sources.patterns import BRANDS, FAMILIES, FLEET_MODELS
 from spindlewise.sources.tables import open_drive_days
 
@@ -28,6 +29,9 @@ class DriveFleet:
     ``summary()`` once (``sinks.tables.write_drive_quarters``) and hand the stored frame to
     ``DriveFleet(summary=...)``: every report except the dimensions then starts from one row per
     drive and quarter.
+
+    With ``model_pass``, the models of interest are looked up in a pass over that column when the first report that needs
+    them is put together, and rows of others do not leave the scan: worth it where most rows are of other models.
     """
 
     def __init__(
@@ -37,6 +41,7 @@ class DriveFleet:
         summary: DataFrame | None = None,
         patterns: Sequence[str] = tuple(FLEET_MODELS),
         on_unknown: str = "error",
+        model_pass: bool = False,
     ):
         if (drive_days is None) == (summary is None):
             raise ValueError("give either the daily table or a stored summary")
@@ -46,6 +51,8 @@ class DriveFleet:
         self.stored = summary
         self.patterns = list(patterns)
         self.on_unknown = on_unknown
+        self.model_pass = model_pass
+        self._of_models: DataFrame | None = None
 
     @classmethod
     def open(
@@ -75,9 +82,21 @@ class DriveFleet:
     def _source(self) -> DataFrame:
         return self.stored if self.drive_days is None else self.drive_days
 
+    def _narrowed(self) -> DataFrame:
+        if self._of_models is None:
+            self._of_models = rows_of_models(self.drive_days, self.patterns)
+        return self._of_models
+
+    def _summarized(self, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A reduction of the daily rows, of models of interest."""
+        if self.drive_days is None:
+            return only_models(self.stored, self.patterns)
+        return reduce(self._narrowed()) if self.model_pass else only_models(reduce(self.drive_days), self.patterns)
+
     def _quarters(self, *extra_keys: str, all_models: bool = False) -> DataFrame:
-        quarters = self.stored if self.drive_days is None else drive_quarters(self.drive_days, extra_keys)
-        return quarters if all_models else only_models(quarters, self.patterns)
+        if all_models:
+            return self.stored if self.drive_days is None else drive_quarters(self.drive_days, extra_keys)
+        return self._summarized(lambda days: drive_quarters(days, extra_keys))
 
     def _histories(self) -> DataFrame:
         """Quarters for reports that order each drive's rows: few rows per drive, missing serials too."""
@@ -85,10 +104,10 @@ class DriveFleet:
         return per_drive_quarter(quarters) if self.drive_days is None else quarters
 
     def _drive_spans(self) -> DataFrame:
-        return only_models(self.stored if self.drive_days is None else drive_spans(self.drive_days), self.patterns)
+        return self._summarized(drive_spans)
 
     def _model_spans(self) -> DataFrame:
-        return only_models(self.stored if self.drive_days is None else model_spans(self.drive_days), self.patterns)
+        return self._summarized(model_spans)
 
     # models
 
@@ -137,6 +156,10 @@ class DriveFleet:
         wide = afr.afr_wide(self._afr_cumulative(min_drives), models)
         return wide.orderBy("service_year", "service_quarter")
 
+    def afr_wide_map(self, min_drives: int = 2000) -> DataFrame:
+        """As ``afr_wide``, in one pass and for any number of models: a map in each row instead of columns."""
+        return afr_map.afr_wide_map(self._afr_cumulative(min_drives)).orderBy("service_year", "service_quarter")
+
     def afr_layout_stats(self, min_drives: int = 2000) -> DataFrame:
         return afr.afr_layout_stats(self._afr_cumulative(min_drives)).orderBy(F.asc_nulls_last("mfr"))
 

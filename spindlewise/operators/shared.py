@@ -33,6 +33,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and keep it in the shared folder: for small results used repeatedly."""
     checkpoint_folder(df.sparkSession)

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindlewise.functions.calendar import quarter_of, utc_date_of_millis
 from spindlewise.sources.snapshots import METADATA_SUFFIX
 
+LOG = (
+    T.StructType()
+    .add("file_name", "string")
+    .add("version", "long")
+    .add("last_updated_ms", "long")
+    .add("snapshot_date", "date")
+    .add("year_quarter", "string")
+)
+
 
 def snapshot_log(entries: DataFrame) -> DataFrame:
     """Metadata files with version, UTC day and quarter; ``file_name`` may be a path.
@@ -39,8 +49,12 @@ def snapshot_calendar(log: DataFrame) -> DataFrame:
 
 
 def updated_calendar(calendar: DataFrame, log: DataFrame, known_version: int | None) -> DataFrame:
-    """An earlier calendar brought up to date with the log's versions after ``known_version``."""
-    new = log if known_version is None else log.filter(F.col("version") > known_version)
+    """An earlier calendar brought up to date with the log's versions after ``known_version``, and with files without one.
+
+    Versions that arrive late under a lower number are missed; ``sinks.snapshot_ledger`` goes by names and finds them.
+    """
+    later = F.col("version").isNull() | (F.col("version") > F.lit(known_version))
+    new = log if known_version is None else log.filter(later)
     return (
         calendar.select("year_quarter", "date_min", "date_max")
         .unionByName(snapshot_calendar(new))

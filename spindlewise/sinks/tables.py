@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlewise.operators.shared import staged
+from spindlewise.plans.afr_map import wide_lines
 from spindlewise.plans.dimensions import constraint_checks
 
 
@@ -18,6 +19,13 @@ def write_report(report: DataFrame, path: str, format: str = "parquet", **option
     report.write.mode("overwrite").format(format).options(**options).save(path)
 
 
+def write_wide_lines(wide: DataFrame, path: str) -> None:
+    """A wide table of ``plans.afr_map`` as one comma-separated file with a column for each model and measure."""
+    with staged(wide, "wide-report") as wide:
+        lines = wide_lines(wide).coalesce(1).sortWithinPartitions("place")  # a line for each quarter of service
+        lines.select("value").write.mode("overwrite").text(path)
+
+
 def write_drive_quarters(quarters: DataFrame, path: str) -> None:
     """Store a summary by quarter. The quarters in the frame are replaced whole, so it must hold all their days.
 
