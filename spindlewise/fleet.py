@@ -209,8 +209,8 @@ class DriveFleet:
     def _located_quarters(self) -> DataFrame:
         return self._quarters("datacenter", "capacity_bytes", all_models=True)
 
-    def capacity_by_datacenter(self) -> DataFrame:
-        by_datacenter = capacity.capacity_by_datacenter(self._located_quarters())
+    def capacity_by_datacenter(self, large_groups: bool = False) -> DataFrame:
+        by_datacenter = capacity.capacity_by_datacenter(self._located_quarters(), large_groups)
         return by_datacenter.orderBy("year", "quarter", "datacenter")
 
     def capacity_datacenter_report(self) -> DataFrame:

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindlewise.operators.selection import apart, same_keys, selected
+from spindlewise.operators.shared import checkpointed
+
 
 def drives_and_capacities(
     quarters: DataFrame, drive_keys: Sequence[str], capacity_keys: Sequence[str]
@@ -87,3 +90,25 @@ def with_doubled_median(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("drives").alias("drives"),
         (lower.cast("decimal(19,0)") + upper.cast("decimal(19,0)")).alias("doubled_capacity"),
     )
+
+
+def with_doubled_median_by_digits(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same as ``with_doubled_median`` where a group may have any number of distinct capacities.
+
+    No task orders a group (``operators.selection``), for some more jobs. Counts and choices go to the shared folder.
+    """
+    counted = checkpointed(_counted(quarters, keys))
+    known = F.when(F.col("capacity_bytes").isNotNull(), F.col("reports"))
+    totals = checkpointed(counted.groupBy(*keys).agg(F.sum("drives").alias("drives"), F.sum(known).alias("total")))
+    half = F.shiftright("total", 1)
+    middle = F.array(
+        F.struct(F.lit("lower").alias("name"), (F.col("total") - half).alias("place")), F.struct(F.lit("upper").alias("name"), (half + 1).alias("place"))
+    )
+    places = totals.filter(F.col("total") > 0).select(*keys, F.explode(middle).alias("of")).select(*keys, "of.name", "of.place")
+    values = counted.filter(F.col("capacity_bytes").isNotNull())
+    medians = (
+        selected(values, keys, "capacity_bytes", "reports", places)
+        .groupBy(*keys)
+        .agg(F.sum(F.col("selected").cast("decimal(19,0)")).cast("decimal(20,0)").alias("doubled_capacity"))
+    )
+    return totals.join(apart(medians, keys), same_keys(keys), "left").select(*keys, "drives", "doubled_capacity")

@@ -18,6 +18,7 @@ from spindlewise.operators.capacity import (
     drives_and_capacities,
     most_frequent,
     with_doubled_median,
+    with_doubled_median_by_digits,
     with_mode,
 )
 from spindlewise.operators.naming import with_model_name
@@ -51,21 +52,23 @@ def known_datacenter(df: DataFrame) -> DataFrame:
     return named.withColumn("datacenter", code)
 
 
-def _doubled_bytes_by_datacenter(quarters: DataFrame) -> DataFrame:
+def _doubled_bytes_by_datacenter(quarters: DataFrame, large_groups: bool = False) -> DataFrame:
     keys = ["year", "quarter", "datacenter", "model"]
-    per_model = with_doubled_median(known_datacenter(quarters), keys)
+    with_median = with_doubled_median_by_digits if large_groups else with_doubled_median
+    per_model = with_median(known_datacenter(quarters), keys)
     return per_model.groupBy("year", "quarter", "datacenter").agg(
         _total(times_drives(F.col("doubled_capacity"), F.col("drives"))).alias("doubled_bytes")
     )
 
 
-def capacity_by_datacenter(quarters: DataFrame) -> DataFrame:
+def capacity_by_datacenter(quarters: DataFrame, large_groups: bool = False) -> DataFrame:
     """Exabytes and twice the exact bytes per quarter and datacenter; all models.
 
-    A drive that moved counts in both places. Bytes are doubled as a median may end in one half.
+    A drive that moved counts in both places. Bytes are doubled as a median may end in one half. With ``large_groups`` no
+    task orders the capacities of a model, however many different ones it reports.
     """
     exabytes = in_unit(F.col("doubled_bytes"), 2 * BYTES_PER_EB)
-    return _doubled_bytes_by_datacenter(quarters).withColumn("raw_storage_eb", exabytes)
+    return _doubled_bytes_by_datacenter(quarters, large_groups).withColumn("raw_storage_eb", exabytes)
 
 
 def capacity_datacenter_report(quarters: DataFrame) -> DataFrame:

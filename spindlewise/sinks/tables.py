@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewise.operators.shared import staged
+from spindlewise.operators.shared import path_exists, staged
 from spindlewise.plans.afr_map import wide_lines
 from spindlewise.plans.dimensions import constraint_checks
 
@@ -56,6 +56,31 @@ def write_dimensions(models: DataFrame, drives: DataFrame, folder: str) -> None:
         drives.write.mode("overwrite").parquet(f"{folder}/drives")
 
 
+def merge_dimensions(models: DataFrame, drives: DataFrame, folder: str) -> tuple[int, int]:
+    """Add what the stored dimension tables lack; how many models and drives that is.
+
+    Rows are new by their id, which follows from their names, so that taking the same rows in again adds none. Before
+    anything is written, the tables as they would be are checked: a name under a second id, a drive whose model is neither
+    stored nor added, or any other broken constraint leaves both as they were. Models are written before the drives that
+    refer to them, so that a run that is lost between the two breaks no constraint; the next one adds the drives.
+    """
+    spark = models.sparkSession
+    before = [_stored(spark, f"{folder}/{name}", frame) for name, frame in (("drive_models", models), ("drives", drives))]
+    fresh_models = models.distinct().join(before[0].select("drive_model_id"), "drive_model_id", "left_anti")
+    fresh_drives = drives.distinct().join(before[1].select("drive_id"), "drive_id", "left_anti")
+    with staged(fresh_models, "drive-models") as new_models, staged(fresh_drives, "drives") as new_drives:
+        require_valid(before[0].unionByName(new_models), before[1].unionByName(new_drives))
+        added = (new_models.count(), new_drives.count())
+        for frame, name, rows in zip((new_models, new_drives), ("drive_models", "drives"), added):
+            if rows or not path_exists(spark, f"{folder}/{name}"):
+                frame.write.mode("append").parquet(f"{folder}/{name}")
+    return added
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(path) if path_exists(spark, path) else like.limit(0)
+
+
 def append_dimension(dimension: DataFrame, url: str, table: str, **properties: str) -> None:
     """Dimension rows into an existing database table; needs its JDBC driver on the classpath."""
     dimension.write.jdbc(url, table, mode="append", properties=properties)
