@@ -96,7 +96,7 @@ def _matrix(vectors: pa.Array, dimensions: int) -> np.ndarray:
 
 
 def _axes(rows: DataFrame) -> tuple[int, int, list[tuple[int, float, float]]]:
-    """Count of rows, dimensions, and for the curve's dimensions their number, mean and deviation."""
+    """Count of rows, dimensions (one at least), and for the curve's dimensions their number, mean and deviation."""
     shape = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
     moments = (
         rows.select(F.posexplode("vector").alias("axis", "x"))
@@ -106,7 +106,7 @@ def _axes(rows: DataFrame) -> tuple[int, int, list[tuple[int, float, float]]]:
         .limit(CURVE_DIMENSIONS)
         .collect()
     )
-    return shape.n, shape.d, [(m.axis, m.mean * SCALE, (m.deviation or 0.0) * SCALE) for m in moments]
+    return shape.n, max(1, shape.d), [(m.axis, m.mean * SCALE, (m.deviation or 0.0) * SCALE) for m in moments]
 
 
 def _with_key(rows: DataFrame, dimensions: int, axes: list[tuple[int, float, float]]) -> DataFrame:
@@ -172,7 +172,7 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _numbers(packed: bytes, kind: type, dimensions: int | None = None) -> np.ndarray:
     values = np.frombuffer(packed, kind)
-    return values if dimensions is None else values.reshape(-1, dimensions) if dimensions else np.zeros((0, 0))
+    return values if dimensions is None else values.reshape(-1, dimensions)
 
 
 class _Search:
