@@ -90,8 +90,8 @@ class DriveFleet:
     def _summarized(self, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """A reduction of the daily rows, of models of interest."""
         if self.drive_days is None:
-            return only_models(self.stored, self.patterns)
-        return reduce(self._narrowed()) if self.model_pass else only_models(reduce(self.drive_days), self.patterns)
+            return only_models(self.stored, self.patterns, summary=True)
+        return reduce(self._narrowed()) if self.model_pass else only_models(reduce(self.drive_days), self.patterns, summary=True)
 
     def _quarters(self, *extra_keys: str, all_models: bool = False) -> DataFrame:
         if all_models:

@@ -28,7 +28,7 @@ MAKER_SPELLINGS = {
     "WDC": WDC_HGST,
 }
 
-KNOWN_MAKERS = [WDC_HGST, SEAGATE, TOSHIBA, "WDC"]
+KNOWN_MAKERS = [WDC_HGST, SEAGATE, TOSHIBA]
 
 DATED_MODELS = [
     (r"^.*(ST\d{2}000NM[0-9A-Z]{4})$", "Seagate $1"),

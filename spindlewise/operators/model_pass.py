@@ -24,7 +24,7 @@ def rows_of_models(drive_days: DataFrame, patterns: Sequence[str], listed: int =
     are then compared, not searched: as a list that is pushed down to the files, or, where there are more than ``listed``,
     through a semi-join with the stored names, broadcast if they are few. Either comes before the first shuffle.
     """
-    names = only_models(model_counts(drive_days.select("model")), patterns).select("model")
+    names = only_models(model_counts(drive_days.select("model")), patterns, summary=True).select("model")
     found = [row.model for row in names.limit(listed + 1).collect()]
     if len(found) <= listed:
         return drive_days.filter(F.col("model").isin(found))

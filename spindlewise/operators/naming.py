@@ -9,11 +9,13 @@ from spindlewise.functions.names import name_tokens, normalized_model
 from spindlewise.operators.summary import kept_on_summary
 
 
-def with_model_name(df: DataFrame, on_unknown: str = "error", raw: str = "model", name: str = "model_name") -> DataFrame:
+def with_model_name(
+    df: DataFrame, on_unknown: str = "error", raw: str = "model", name: str = "model_name", summary: bool = False
+) -> DataFrame:
     """Add the normalized name of the raw one.
 
     ``on_unknown="error"`` fails the job on a name no rule covers, ``"null"`` leaves it null and
-    ``"drop"`` drops its rows.
+    ``"drop"`` drops its rows. ``summary`` says that ``df`` is a summary, not daily rows.
     """
     if on_unknown not in ("error", "null", "drop"):
         raise ValueError(f"on_unknown is 'error', 'null' or 'drop', not {on_unknown!r}")
@@ -26,4 +28,7 @@ def with_model_name(df: DataFrame, on_unknown: str = "error", raw: str = "model"
         .withColumn(name, normalized_model(F.col("name_tokens"), unknown))
         .drop("name_tokens")
     )
-    return kept_on_summary(named, F.col(name).isNotNull()) if on_unknown == "drop" else named
+    if on_unknown != "drop":
+        return named
+    known = F.col(name).isNotNull()
+    return kept_on_summary(named, known) if summary else named.filter(known)

@@ -24,19 +24,20 @@ OPTIONAL_KEYS = ["datacenter", "capacity_bytes"]
 
 
 def kept_on_summary(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter by a costly condition on grouping keys, after the aggregation that made ``df``.
+    """Filter a summary by a costly condition on grouping keys, after the aggregation that made it.
 
     A condition on keys alone is moved below the aggregation: to a regular expression search
     per drive and day, for instance, which costs more than the aggregation itself. ``reports``
-    is only known after it, and is at least one. Daily rows are filtered as they are.
+    is only known after it, and is at least one.
     """
-    return df.filter(F.when(F.col("reports") > 0, condition) if "reports" in df.columns else condition)
+    return df.filter(F.when(F.col("reports") > 0, condition))
 
 
-def only_models(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Rows whose raw model name matches one of the patterns anywhere; daily rows or a summary."""
+def only_models(df: DataFrame, patterns: Sequence[str], summary: bool = False) -> DataFrame:
+    """Rows whose raw model name matches one of the patterns anywhere; ``summary`` says that they are not daily rows."""
     require_columns(df, ["model"])
-    return kept_on_summary(df, matches_any(F.col("model"), patterns))
+    of_interest = matches_any(F.col("model"), patterns)
+    return kept_on_summary(df, of_interest) if summary else df.filter(of_interest)
 
 
 def drive_quarters(drive_days: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:

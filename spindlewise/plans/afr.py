@@ -33,7 +33,7 @@ def afr_quarterly(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
     """
     keys = ["model_name", "year", "quarter"]
     per_drive = (
-        with_model_name(quarters, on_unknown)
+        with_model_name(quarters, on_unknown, summary=True)
         .groupBy(*keys, "serial_number")
         .agg(F.sum("drive_days").alias("drive_days"), F.sum("failures").alias("failures"))
     )
@@ -49,7 +49,7 @@ def afr_quarterly(quarters: DataFrame, on_unknown: str = "error") -> DataFrame:
 
 def drive_lifetimes(spans: DataFrame, on_unknown: str = "error") -> DataFrame:
     """First and last day each drive was seen, under its normalized model."""
-    lifetimes = regroup_spans(with_model_name(spans, on_unknown), "model_name", "serial_number")
+    lifetimes = regroup_spans(with_model_name(spans, on_unknown, summary=True), "model_name", "serial_number")
     return lifetimes.withColumnsRenamed({"first_date": "first_seen", "last_date": "last_seen"})
 
 
@@ -87,7 +87,7 @@ def _enriched_with_newest(quarters: DataFrame, on_unknown: str) -> tuple[DataFra
     history = Window.partitionBy("model_name", "serial_number").orderBy("year", "quarter")
     to_date = history.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     this_quarter = F.col("year") * 4 + F.col("quarter")
-    marked = with_model_name(quarters, on_unknown).select(
+    marked = with_model_name(quarters, on_unknown, summary=True).select(
         "model_name",
         "serial_number",
         "year",

@@ -45,10 +45,10 @@ def capacity_fleet(quarters: DataFrame) -> DataFrame:
     return per_quarter.withColumn("delta_eb", F.when(before != 0, F.col("raw_storage_eb") - before))
 
 
-def known_datacenter(df: DataFrame) -> DataFrame:
-    """Rows with a usable datacenter code, in upper case."""
+def known_datacenter(quarters: DataFrame) -> DataFrame:
+    """Rows of a summary with a usable datacenter code, in upper case."""
     code = F.upper("datacenter")
-    named = kept_on_summary(df.filter(F.col("datacenter").isNotNull()), F.length(code) >= MIN_DATACENTER_LENGTH)
+    named = kept_on_summary(quarters.filter(F.col("datacenter").isNotNull()), F.length(code) >= MIN_DATACENTER_LENGTH)
     return named.withColumn("datacenter", code)
 
 
@@ -90,7 +90,7 @@ def capacity_by_maker(quarters: DataFrame, on_unknown: str = "error") -> DataFra
     keys = ["model_name", "year", "quarter"]
     # a row per model and quarter with its drives, and a row per model with its capacity
     counted = (
-        drives_and_capacities(with_model_name(quarters, on_unknown), keys, ["model_name"])
+        drives_and_capacities(with_model_name(quarters, on_unknown, summary=True), keys, ["model_name"])
         .groupBy(*keys, F.col("drive").isNotNull().alias("of_drives"), "capacity_bytes")
         .agg(drive_total().alias("drives"), F.sum("reports").alias("reports"))
     )

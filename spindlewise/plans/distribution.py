@@ -12,7 +12,7 @@ def distribution(quarters: DataFrame, min_drives: int = 0, on_unknown: str = "er
     """Distinct drives per quarter and normalized model; a missing serial number is no drive."""
     keys = ["year", "quarter", "model_name"]
     return (
-        with_model_name(quarters, on_unknown)
+        with_model_name(quarters, on_unknown, summary=True)
         .select(*keys, "serial_number")
         .distinct()
         .groupBy(*keys)

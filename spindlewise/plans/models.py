@@ -11,7 +11,7 @@ from spindlewise.operators.summary import model_counts, only_models
 
 def candidate_models(df: DataFrame, patterns: list[str]) -> DataFrame:
     """Distinct raw model names of interest."""
-    return only_models(model_counts(df), patterns).select(F.col("model").alias("drive_model_name_smart"))
+    return only_models(model_counts(df), patterns, summary=True).select(F.col("model").alias("drive_model_name_smart"))
 
 
 def model_mapping(df: DataFrame, patterns: list[str], on_unknown: str = "error") -> DataFrame:

@@ -1,11 +1,14 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spindlewise import DriveFleet
+from spindlewise.operators.naming import with_model_name
 from spindlewise.operators.shared import CHECKPOINT_SETTING, checkpoint_folder, new_folder
+from spindlewise.operators.summary import only_models
 from spindlewise.schema import MissingColumns, as_drive_days
 from spindlewise.sinks.tables import write_drive_quarters, write_report
 from spindlewise.sources import bridge
-from spindlewise.sources.patterns import read_families, read_labels, read_patterns
+from spindlewise.sources.patterns import FLEET_MODELS, read_families, read_labels, read_patterns
 from spindlewise.sources.tables import open_drive_days
 from tests.compare import spark_rows
 from tests.rows import drive_days
@@ -128,3 +131,10 @@ def test_checkpoints_go_to_the_session_folder(spark):
     assert folder in spark.sparkContext.getCheckpointDir()
     assert folder == spark.conf.get(CHECKPOINT_SETTING, folder)
     assert new_folder(spark, "run") != new_folder(spark, "run")
+
+
+def test_daily_rows_may_have_a_column_named_reports(spark):
+    days = drive_days(spark, [("2024-01-01", "ST12000NM0007", s) for s in "abc"]).withColumn("reports", F.expr("CASE serial_number WHEN 'a' THEN 0 WHEN 'b' THEN 7 END"))
+    assert only_models(days, FLEET_MODELS).count() == 3
+    assert with_model_name(days, "drop").count() == 3
+    assert DriveFleet(days).afr_quarterly().first().qtr_unique_drives_deployed == 3
