@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spindlewise.llm.common import broadcast_if_small, stored
 
-VARIABLE, LEADING, MIN_WORDS, MIN_TEXTS = "<*>", 3, 2, 5
+VARIABLE, LEADING, MIN_WORDS, MIN_TEXTS = "<*>", 2, 1, 5
 
 
 def words_of(line: Column) -> Column:
