@@ -11,6 +11,7 @@ texts and counts them word by word: collisions separate there, and only frequent
 from __future__ import annotations
 
 import random
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,14 +36,14 @@ NO_LANGUAGE = "und"
 _BREAKS = b".,;:!?\n\v\f\r"
 _FOLDED = bytes.maketrans(_BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(_BREAKS) + b" " + bytes(range(97, 123)))
 
-#: Bits of the map of fingerprints that may be frequent: 16 MB, whatever the size of the corpus.
-MAP_BITS = 27
+#: Bits of the map of fingerprints that may be frequent, as a power of two: 8 MB, whatever the size of the corpus.
+MAP_BITS = 26
 
-#: Texts are combined in lots of about this many bytes, and a long text is cut into words in sections of that size.
-LOT_BYTES = 8 << 20
+#: Texts are kept in lots of about this many bytes; a longer text is a lot of its own, read in sections of that size.
+LOT_BYTES = 1 << 20
 
-#: A task forgets its words between lots when it knows this many.
-MOST_WORDS = 1 << 20
+#: Bits of a fingerprint. Few enough to be cheap to shuffle: what collides is told apart by its words.
+PRINT_BITS = 48
 
 #: Odd, so that it has an inverse modulo 2^64; the same in all tasks.
 _BASE = random.Random(13).getrandbits(64) | 1
@@ -65,19 +66,19 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-class _Words:
-    """Numbers of the words a task has met, and their hashes."""
+def _prints(sums: np.ndarray, seeds: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+    return _mixed(sums + seeds + np.asarray(lengths, np.uint64)) >> np.uint64(64 - PRINT_BITS)
 
-    def __init__(self):
-        self.clear()
 
-    def clear(self) -> None:
-        self.numbers = {b"": _GAP, b"\n": _BREAK}
-        self.texts: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
+class _Numbers(dict):
+    """Words of a lot, numbered in the order they are met; the parts between words have numbers of their own."""
+
+    def __init__(self):
+        super().__init__({b"": _GAP, b"\n": _BREAK})
 
-    def __len__(self) -> int:
-        return len(self.texts)
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) - 2
+        return number
 
     def read(self, text: bytes) -> np.ndarray:
         """The text as numbers of words, with a break after each piece and at the end."""
@@ -87,54 +88,73 @@ class _Words:
             end = text.find(b" ", start + LOT_BYTES) if len(text) - start > LOT_BYTES else -1
             section = text[start:] if end < 0 else text[start:end]
             start = len(text) if end < 0 else end
-            found.append(self._numbered(section.translate(_FOLDED).replace(b"\n", b" \n ").split(b" ")))
+            words = section.translate(_FOLDED).replace(b"\n", b" \n ").split(b" ")
+            found.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
         found.append(np.array([_BREAK], np.int32))
         numbers = np.concatenate(found)
         return numbers[numbers != _GAP]
 
-    def _numbered(self, words: list[bytes]) -> np.ndarray:
-        known = self.numbers
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = len(self.texts)
-                    self.texts.append(word)
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-
-    def hashed(self) -> np.ndarray:
-        new = self.texts[len(self.hashes) :]
-        if new:
-            fresh = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            self.hashes = np.concatenate([self.hashes, fresh])
-        return self.hashes
+
+LOT_SCHEMA = "languages array<string>, language binary, lengths binary, numbers binary, words binary, rows array<long>"
+
+
+def _lots(texts: DataFrame) -> DataFrame:
+    """(row, lang, text, id) as lots of LOT_SCHEMA and ``ids``: texts cut into words once, each word of a lot stored once.
+
+    Numbers and words are compressed, so that what passes through Spark's own buffers stays small.
+    """
+    schema = f"{LOT_SCHEMA}, ids array<{texts.schema['id'].dataType.simpleString()}>"
+    arrow = _arrow_schema(texts.sparkSession, schema)
+
+    def lot(texts: list[tuple]) -> pa.RecordBatch:
+        numbers = _Numbers()
+        rows, own, found, ids = zip(*texts)
+        read = [numbers.read(text) for text in found]
+        names = sorted(set(own))
+        at = {name: k for k, name in enumerate(names)}
+        columns = [
+            names,
+            np.array([at[name] for name in own], np.int32).tobytes(),
+            np.array([len(r) for r in read], np.int64).tobytes(),
+            zlib.compress(np.concatenate(read).tobytes(), 1),
+            zlib.compress(b" ".join([*numbers][2:]), 1),  # a word holds no blank
+            rows,
+            ids,
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([c], type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in sliced(batches, 2):
+            found = pc.fill_null(batch.column(2).cast(pa.binary()), b"").to_pylist()
+            for text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, batch.column(3).to_pylist()):
+                if held and size + len(text[2]) > LOT_BYTES:
+                    yield lot(held)
+                    held, size = [], 0
+                held.append(text)
+                size += len(text[2])
+        if held:
+            yield lot(held)
+
+    return texts.mapInArrow(run, schema)
 
 
 class _Lot:
-    """Texts of one task, as word numbers one after the other, with the language and the row of each."""
-
-    def __init__(self, words: _Words):
-        self.words, self.texts, self.rows, self.languages, self.held = words, [], [], [], 0
-
-    def add(self, row: int, language: str, text: bytes) -> None:
-        self.texts.append(self.words.read(text))
-        self.rows.append(row)
-        self.languages.append(language)
-        self.held += len(text)
-
-    def close(self) -> None:
-        lengths = np.array([len(t) for t in self.texts])
-        self.numbers = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
-        self.names = sorted(set(self.languages))
-        at = {name: k for k, name in enumerate(self.names)}
-        own = np.array([at[name] for name in self.languages], np.int16)
-        self.seeds = np.array([xxhash.xxh3_64_intdigest(name.encode()) for name in self.names], np.uint64)
-        self.language = np.repeat(own, lengths)
-        self.row = np.repeat(np.array(self.rows, np.int64), lengths)
+    """A stored lot, with prefix polynomials over its words."""
+
+    def __init__(self, languages: list[str], language: bytes, lengths: bytes, numbers: bytes, words: bytes, rows: list[int]):
+        counts = np.frombuffer(lengths, np.int64)
+        self.names = languages
+        text = zlib.decompress(words)
+        self.words = text.split(b" ") if text else []
+        self.numbers = np.frombuffer(zlib.decompress(numbers), np.int32)
+        self.language = np.repeat(np.frombuffer(language, np.int32), counts)
+        self.row = np.repeat(np.array(rows, np.int64), counts)
+        self.seeds = np.fromiter((xxhash.xxh3_64_intdigest(name.encode()) for name in languages), np.uint64, len(languages))
         is_word = self.numbers >= 0
+        of_words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         hashes = np.zeros(len(self.numbers), np.uint64)
-        hashes[is_word] = self.words.hashed()[self.numbers[is_word]]
+        hashes[is_word] = of_words[self.numbers[is_word]]
         self.breaks = np.concatenate([[0], np.cumsum(~is_word)])
         self.prefix = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64, out=self.prefix[1:])
@@ -149,12 +169,12 @@ class _Lot:
     def fingerprints(self, places: np.ndarray, n: int) -> np.ndarray:
         """The polynomial between two places, divided by the power of the first, mixed with length and language."""
         sums = (self.prefix[places + n] - self.prefix[places]) * self.inverse[places]
-        return _mixed(sums + self.seeds[self.language[places]] + np.uint64(n))
+        return _prints(sums, self.seeds[self.language[places]], n)
 
 
 def _may_be_frequent(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     found = np.ones(len(prints), bool)
-    for shift in (0, 64 - MAP_BITS):
+    for shift in (0, PRINT_BITS - MAP_BITS):
         at = (prints >> np.uint64(shift)) & np.uint64((1 << MAP_BITS) - 1)
         found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
     return found
@@ -169,45 +189,45 @@ def _frequent_places(lot: _Lot, n: int, bits: np.ndarray) -> np.ndarray:
     return places[frequent[places] & frequent[places + 1]]
 
 
-def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[_Lot]:
-    """The rows of a task in lots. Columns: row, language, text."""
-    words = _Words()
-    lot = _Lot(words)
-    for batch in sliced(batches, 2):
-        texts = pc.fill_null(batch.column(2).cast(pa.binary()), b"")
-        for row, language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.to_pylist()):
-            lot.add(row, language, text)
-            if lot.held >= LOT_BYTES:
-                lot.close()
-                yield lot
-                if len(words) > MOST_WORDS:
-                    words.clear()
-                lot = _Lot(words)
-    if lot.texts:
-        lot.close()
-        yield lot
-
-
-def _counted_prints(rows: DataFrame, n: int, bits: Broadcast | None) -> DataFrame:
+def _by_words(lot: _Lot, n: int, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and counts of the phrases: occurrences of one fingerprint are compared with the first of them,
+    word by word, and those that differ are compared among themselves in the next round."""
+    while len(places):
+        _, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
+        model = places[first][inverse]
+        same = lot.language[places] == lot.language[model]
+        for k in range(n):
+            same &= lot.numbers[places + k] == lot.numbers[model + k]
+        yield places[first], np.bincount(inverse[same], minlength=len(first))
+        places, prints = places[~same], prints[~same]
+
+
+def _read_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[_Lot]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield _Lot(*(column[row].as_py() for column in batch.columns))
+
+
+def _counted_prints(lots: DataFrame, n: int, bits: Broadcast) -> DataFrame:
     """Fingerprints of n-grams with their count and the first row that has them, over all tasks."""
     schema = "print long, n long, row long"
-    arrow = _arrow_schema(rows.sparkSession, schema)
+    arrow = _arrow_schema(lots.sparkSession, schema)
 
     def run(batches):
-        for lot in _lots(batches):
-            places = lot.places(n) if bits is None else _frequent_places(lot, n, bits.value)
+        for lot in _read_lots(batches):
+            places = _frequent_places(lot, n, bits.value)
             prints, first, counts = np.unique(lot.fingerprints(places, n), return_index=True, return_counts=True)
             columns = [prints.view(np.int64), counts.astype(np.int64), lot.row[places[first]]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
-    return rows.mapInArrow(run, schema).groupBy("print").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    return lots.mapInArrow(run, schema).groupBy("print").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
 
 
 def _bit_map(prints: DataFrame) -> np.ndarray:
     """The map of the given fingerprints: at most 2^MAP_BITS bits reach the driver, whatever their number."""
     value = F.col("print")
     low = (1 << MAP_BITS) - 1
-    places = F.array(value.bitwiseAND(F.lit(low)), F.shiftrightunsigned(value, 64 - MAP_BITS))
+    places = F.array(value.bitwiseAND(F.lit(low)), F.shiftright(value, PRINT_BITS - MAP_BITS))
     words = (
         prints.select(F.explode(places).alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
@@ -219,80 +239,101 @@ def _bit_map(prints: DataFrame) -> np.ndarray:
     return bits
 
 
-def _phrases(rows: DataFrame, maps: list[Broadcast]) -> DataFrame:
-    """(lang, length, phrase, f, row, print) of all n-grams whose fingerprint may be frequent, counted by their words.
+def _counted_words(lots: DataFrame) -> DataFrame:
+    """(lang, phrase, f, row) of every word: words are short, so that they are counted as text from the start."""
+    schema = "lang string, phrase binary, f long, row long"
+    arrow = _arrow_schema(lots.sparkSession, schema)
+
+    def run(batches):
+        for lot in _read_lots(batches):
+            texts, names = pa.array(lot.words, pa.binary()), pa.array(lot.names, pa.string())
+            places = lot.places(1)
+            for at, counts in _by_words(lot, 1, places, lot.fingerprints(places, 1)):
+                columns = [names.take(pa.array(lot.language[at])), texts.take(pa.array(lot.numbers[at])), counts, lot.row[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return lots.mapInArrow(run, schema).groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("row").alias("row"))
+
+
+def _with_prints(phrases: DataFrame) -> DataFrame:
+    """Frequent phrases (lang, phrase, more) with their fingerprints, computed from the text."""
+    schema = ", ".join(f"{name} {kind}" for name, kind in [*phrases.dtypes, ("print", "bigint")])
+    arrow = _arrow_schema(phrases.sparkSession, schema)
+    lang, text = phrases.columns.index("lang"), phrases.columns.index("phrase")
+
+    def run(batches):
+        for batch in batches:
+            words = [phrase.split(b" ") if phrase else [] for phrase in batch.column(text).to_pylist()]
+            sums = [sum(xxhash.xxh3_64_intdigest(w) * pow(_BASE, k, 1 << 64) for k, w in enumerate(own)) % (1 << 64) for own in words]
+            seeds = [xxhash.xxh3_64_intdigest(name.encode()) for name in batch.column(lang).to_pylist()]
+            prints = _prints(np.array(sums, np.uint64), np.array(seeds, np.uint64), [len(own) for own in words])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], schema=arrow)
+
+    return phrases.mapInArrow(run, schema)
+
+
+def _phrases(lots: DataFrame, maps: list[Broadcast]) -> DataFrame:
+    """(lang, length, phrase, f) of all n-grams, from two words on, whose fingerprint may be frequent, counted by their words.
 
     The row of length 0 and phrase '' counts the words of a language.
     """
-    schema = "lang string, length int, phrase binary, f long, row long, print long"
-    arrow = _arrow_schema(rows.sparkSession, schema)
-
-    def by_words(lot: _Lot, n: int, places: np.ndarray, prints: np.ndarray) -> list[tuple]:
-        """Occurrences of one fingerprint are compared with the first one, word by word; others are taken one by one."""
-        found = []
-        while len(places):
-            _, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
-            model = places[first][inverse]
-            same = lot.language[places] == lot.language[model]
-            for k in range(n):
-                same &= lot.numbers[places + k] == lot.numbers[model + k]
-            counts = np.bincount(inverse[same], minlength=len(first))
-            found += zip(places[first].tolist(), counts.tolist(), prints[first].view(np.int64).tolist())
-            places, prints = places[~same], prints[~same]
-        return found
+    schema = "lang string, length int, phrase binary, f long"
+    arrow = _arrow_schema(lots.sparkSession, schema)
 
     def run(batches):
-        for lot in _lots(batches):
-            texts, numbers = lot.words.texts, lot.numbers
-            words = np.bincount(lot.language[lot.places(1)], minlength=len(lot.names))
-            out = [(name, 0, b"", int(count), None, None) for name, count in zip(lot.names, words)]
-            for n, bits in enumerate(maps, 1):
-                places = lot.places(n) if n == 1 else _frequent_places(lot, n, maps[n - 2].value)
+        for lot in _read_lots(batches):
+            texts, names = pa.array(lot.words, pa.binary()), pa.array(lot.names, pa.string())
+            every = np.bincount(lot.language[lot.places(1)], minlength=len(lot.names))
+            yield rows(names, 0, pa.array([b""] * len(every), pa.binary()), every)
+            for n in range(2, len(maps) + 1):
+                places = _frequent_places(lot, n, maps[n - 2].value)
                 prints = lot.fingerprints(places, n)
-                likely = _may_be_frequent(bits.value, prints)
-                for at, count, value in by_words(lot, n, places[likely], prints[likely]):
-                    phrase = b" ".join([texts[w] for w in numbers[at : at + n].tolist()])
-                    out.append((lot.names[lot.language[at]], n, phrase, count, int(lot.row[at]), value))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                likely = _may_be_frequent(maps[n - 1].value, prints)
+                for at, counts in _by_words(lot, n, places[likely], prints[likely]):
+                    words = [texts.take(pa.array(lot.numbers[at + k])) for k in range(n)]
+                    yield rows(names.take(pa.array(lot.language[at])), n, pc.binary_join_element_wise(*words, b" "), counts)
 
-    return (
-        rows.mapInArrow(run, schema)
-        .groupBy("lang", "length", "phrase")
-        .agg(F.sum("f").alias("f"), F.min("row").alias("row"), F.min("print").alias("print"))
-    )
+    def rows(names, length, phrases, counts):
+        columns = [names, np.full(len(counts), length, np.int32), phrases, counts]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return lots.mapInArrow(run, schema).groupBy("lang", "length", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text") -> DataFrame:
     """Every phrase of 1 to ``longest`` words that occurs ``least`` times in a language, with its exact count ``f``.
 
-    Columns: lang, length, phrase (words parted by one blank), f, ``first_doc`` (id of the first row, as read, that has it)
-    and ``collided`` (the fingerprint's count or pointer is not the phrase's own: another phrase shares it). A row of length
-    0 and an empty phrase counts all words of its language.
+    Columns: lang, length, phrase (words parted by one blank), f, ``first_doc`` (id of the first row, as read, that its
+    fingerprint points to) and ``collided`` (the fingerprint counts more than the phrase: another one shares it, and
+    ``first_doc`` may be that one's). A row of length 0 and an empty phrase counts all words of its language.
     """
     language = F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE))
-    rows = stored(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            language.alias("lang"),
-            F.col(text_column).cast("string").alias("text"),
-            F.col(id_column).alias("first_doc"),
-        ),
-        "collocation-texts",
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        language.alias("lang"),
+        F.col(text_column).cast("string").alias("text"),
+        F.col(id_column).alias("id"),
     )
-    texts = rows.select("row", "lang", "text")
-    context = rows.sparkSession.sparkContext
-    maps, prints = [], []
-    for n in range(1, longest + 1):
-        frequent = stored(_counted_prints(texts, n, maps[-1] if maps else None).filter(F.col("n") >= least), f"prints-{n}")
-        maps.append(context.broadcast(_bit_map(frequent)))
-        prints.append(frequent)
-    phrases = _phrases(texts, maps).filter((F.col("f") >= least) | (F.col("length") == 0))
-    pointed = reduce(DataFrame.unionByName, prints).withColumnsRenamed({"n": "print_f", "row": "print_row"})
-    collided = (F.col("f") != F.col("print_f")) | (F.col("row") != F.col("print_row"))
+    kept = stored(_lots(rows), "collocation-lots")
+    lots = kept.drop("ids")
+    ids = kept.select(F.explode(F.arrays_zip("rows", "ids")).alias("of")).select(F.col("of.rows").alias("row"), F.col("of.ids").alias("first_doc"))
+    context = docs.sparkSession.sparkContext
+    words = stored(_counted_words(lots).filter(F.col("f") >= least), "frequent-words")
+    maps, prints = [context.broadcast(_bit_map(_with_prints(words.select("lang", "phrase"))))], []
+    for n in range(2, longest + 1):
+        prints.append(stored(_counted_prints(lots, n, maps[-1]).filter(F.col("n") >= least), f"prints-{n}"))
+        maps.append(context.broadcast(_bit_map(prints[-1])))
+    phrases = _phrases(lots, maps).filter((F.col("f") >= least) | (F.col("length") == 0))
+    if prints:
+        pointed = reduce(DataFrame.unionByName, prints).withColumnsRenamed({"n": "print_f", "row": "print_row"})
+        collided = F.coalesce(F.col("f") != F.col("print_f"), F.lit(False)).alias("collided")
+        phrases = _with_prints(phrases).join(pointed, "print", "left").select("lang", "length", "phrase", "f", F.col("print_row").alias("row"), collided)
+    else:
+        phrases = phrases.select("lang", "length", "phrase", "f", F.lit(None).cast("long").alias("row"), F.lit(False).alias("collided"))
+    single = words.select("lang", F.lit(1).alias("length"), "phrase", "f", "row", F.lit(False).alias("collided"))
     return (
-        phrases.join(pointed, "print", "left")
-        .withColumn("collided", F.coalesce(collided, F.lit(False)))
-        .join(rows.select("row", "first_doc"), "row", "left")
+        phrases.unionByName(single)
+        .join(ids, "row", "left")
         .select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "f", "first_doc", "collided")
     )
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -221,20 +222,31 @@ def lot(*texts):
     names = sorted({name for name, _ in texts})
     own = np.array([names.index(name) for name, _ in texts], np.int32)
     lengths = np.array([len(r) for r in read], np.int64)
-    words = b" ".join([*numbers][2:])
-    return collocations._Lot(names, own.tobytes(), lengths.tobytes(), np.concatenate(read).tobytes(), words, list(range(len(texts))))
+    words = zlib.compress(b" ".join([*numbers][2:]))
+    return collocations._Lot(names, own.tobytes(), lengths.tobytes(), zlib.compress(np.concatenate(read).tobytes()), words, list(range(len(texts))))
 
 
 def test_phrases_with_one_fingerprint_are_told_apart():
     one = lot(("en", b"a b a b c a b"), ("de", b"a b. b a"))
     places = one.places(2)
     found = collocations._by_words(one, 2, places, np.zeros(len(places), np.uint64))
-    rounds = [(at, count) for ats, counts, _ in found for at, count in zip(ats, counts)]
+    rounds = [(at, count) for ats, counts in found for at, count in zip(ats, counts)]
     texts = {(one.names[one.language[at]], *(one.words[w] for w in one.numbers[at : at + 2])): count for at, count in rounds}
     assert texts == {("en", b"a", b"b"): 3, ("en", b"b", b"a"): 1, ("en", b"b", b"c"): 1, ("en", b"c", b"a"): 1, ("de", b"a", b"b"): 1, ("de", b"b", b"a"): 1}
     assert sum(texts.values()) == len(places)
 
 
+def test_fingerprints_of_texts_equal_those_of_places(spark):
+    one = lot(("en", b"red apple pie. red"), ("de", b"red apple"))
+    frame = spark.createDataFrame([("en", bytearray(b"red apple")), ("en", bytearray(b"red apple pie")), ("de", bytearray(b"red apple")), ("en", bytearray(b"red"))], "lang string, phrase binary")
+    prints = {(r.lang, bytes(r.phrase)): r.print for r in collocations._with_prints(frame).collect()}
+    for n in (1, 2, 3):
+        for at, value in zip(one.places(n), one.fingerprints(one.places(n), n)):
+            key = one.names[one.language[at]], b" ".join(one.words[w] for w in one.numbers[at : at + n])
+            assert prints.get(key, int(value)) == int(value)
+    assert len(set(prints.values())) == 4 and max(prints.values()) < 2**48
+
+
 def test_fingerprints_do_not_depend_on_the_lot():
     alone, after = lot(("en", b"one two three")), lot(("de", b"other words, one two"), ("en", b"x one two three"))
     for n in (1, 2, 3):
