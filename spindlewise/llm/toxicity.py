@@ -224,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bounds: Traini
     """A bounded, repeatable sample of labelled (text, label) rows outside the held-out fold.
 
     Labels that are null, or have no document id, teach nothing; a document with several labels counts with the largest.
-    Null texts count as empty ones.
+    Null texts count as empty ones. Of several texts under one id the smallest counts, so that the bounds hold for rows.
     """
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -237,8 +237,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bounds: Traini
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
         F.length("text") <= bounds.longest_text
     )
-    joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "label")
-    rows = sorted((r.doc_id, bytes(r.text), int(r.label > 0)) for r in joined.collect())
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = sorted((r.doc_id, r.text.encode(), int(r.label > 0)) for r in joined.collect())
     return [(text, label) for _, text, label in rows]
 
 
