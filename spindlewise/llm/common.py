@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space. The class reads the same in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,13 +93,30 @@ def arrow_filter(df: DataFrame, text: str, make: Callable[[], Callable[[list[byt
     return df.mapInArrow(run, df.schema)
 
 
-#: Rows that may be broadcast: keys of some dozen bytes each. Larger tables are joined by shuffling.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes in them, that may be broadcast. Larger tables are joined by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48 << 20
+
+
+def _bytes_in(column: Column, kind: T.DataType) -> Column:
+    """About what a value takes: texts by their length, lists by what is in them, others eight bytes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(kind, T.ArrayType):
+        of = lambda x: _bytes_in(x, kind.elementType)
+        size = F.aggregate(column, F.lit(0).cast("long"), lambda total, x: total + of(x).cast("long"))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes_in(column.getField(f.name), f.dataType) for f in kind), F.lit(0))
+    else:
+        size = F.lit(0)
+    return F.coalesce(size.cast("long"), F.lit(0).cast("long")) + 8
 
 
 def broadcast_if_small(table: DataFrame) -> DataFrame:
-    """A stored table with a broadcast hint where it has been counted and is small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A stored table with a broadcast hint where its rows have been counted, and the bytes in them, and both are few."""
+    if table.count() > BROADCAST_ROWS:
+        return table
+    held = table.agg(F.sum(sum((_bytes_in(F.col(f"`{f.name}`"), f.dataType) for f in table.schema), F.lit(0)))).first()[0]
+    return F.broadcast(table) if (held or 0) <= BROADCAST_BYTES else table
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

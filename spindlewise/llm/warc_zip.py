@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlewise.llm.common import shared_folder, sliced, stored
+from spindlewise.llm.common import broadcast_if_small, shared_folder, sliced, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_REVISIT_BYTES, ARCHIVE_BYTES = 100, 128 << 20
@@ -233,7 +233,8 @@ def classed(pages: DataFrame) -> DataFrame:
 
     Of equal payloads of at least LEAST_REVISIT_BYTES bytes, all rows with the smallest page_id are responses and the
     others refer to it. Null html is empty; smaller payloads, and rows without an id, are always responses. Only digests
-    are grouped and joined; a payload with a third of all pages is one row per task in the grouping.
+    are grouped; a payload with a third of all pages is one row per task in the grouping. Repeated digests are joined where
+    the pages are while they are few enough to be broadcast; pages move to them only beyond that.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
@@ -242,7 +243,7 @@ def classed(pages: DataFrame) -> DataFrame:
         source.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1").select("payload_digest", "first_id")
     )
-    return source.join(first, "payload_digest", "left").select(
+    return source.join(broadcast_if_small(stored(first, "warc-repeated")), "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest", F.expr("if(page_id > first_id, first_id, null)").alias("refers_to")
     )
 
