@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from spindlewise.llm.common import broadcast_if_small, lower_ascii, stored
 
-#: A chunk ends after the first of these letter pairs that follows its first 512 characters, or after 4096 characters.
-CHUNK = r"(?s).{512,4094}?(?:an|en|es|le|he|\n)|.{1,4096}"
+#: A chunk ends after the first boundary that follows its first 512 bytes, or after 4096. Boundaries are some pairs of Latin
+#: letters and of digits, line ends, and in any other script the characters whose last byte in UTF-8 is one of these four, a
+#: sixteenth of all. The pattern reads bytes, a character for each.
+CHUNK = r"(?s).{512,4094}?(?:an|en|es|le|he|\n|[iou][nt]|[0-9][05a-f]|[\x80-\xbf\xc2-\xdf][\x84\x94\xa4\xb4](?![\x80-\xbf]))|.{1,4096}"
 
 
 def recipe(text: Column) -> Column:
     """Array of (hash, digest, length) of the content-defined chunks of a text; empty for an empty one."""
+    as_bytes = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     return F.transform(
-        F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)),
+        F.regexp_extract_all(as_bytes, F.lit(CHUNK), F.lit(0)),
         lambda c: F.struct(F.xxhash64(c).alias("hash"), F.unhex(F.sha2(c, 256)).alias("digest"), F.length(c).alias("chars")),
     )
 
