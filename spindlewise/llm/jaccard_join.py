@@ -314,7 +314,8 @@ def group_links(many: DataFrame, membership: DataFrame, classes: DataFrame) -> D
     """Links between classes of different components that share a token of ``many`` (token, class, n, place): the matrix.
 
     ``membership`` (class, component) has every class of ``many``. Of two components the smaller one asks. A query and a
-    group give one link at most, since a group's members are one component already.
+    group give one link at most, since a group's members are one component already. Queries meet unions first; the sets of
+    a group move only to the queries that its union leaves room for.
     """
     sizes = membership.groupBy("component").agg(F.count("*").alias("size"))
     placed = (
@@ -352,17 +353,27 @@ def group_links(many: DataFrame, membership: DataFrame, classes: DataFrame) -> D
         )
 
     matrix = members.groupBy("group").applyInArrow(column, "group long, union binary, classes array<long>, ns array<int>, lengths binary, sets binary")
-    asked = wanted.join(classes.withColumnRenamed("class", "query"), "query").join(stored(matrix, "jaccard-matrix"), "group")
+    matrix = stored(matrix, "jaccard-matrix")
+    asked = wanted.join(classes.withColumnRenamed("class", "query"), "query")
+
+    def bound(batches):
+        for batch in batches:
+            keep = []
+            for n, tokens, union, least in zip(*(batch.column(name).to_pylist() for name in ("n", "tokens", "union", "least"))):
+                inside = len(np.intersect1d(_unpack(tokens), _unpack(union), assume_unique=True))
+                # similar sets share (n + m) * share / (1 + share) tokens at least
+                keep.append(inside * (SHARE[0] + SHARE[1]) >= SHARE[0] * (n + least))
+            yield batch.select(["query", "group", "n", "tokens"]).filter(pa.array(keep, pa.bool_()))
+
+    unions = matrix.select("group", "union", F.array_min("ns").alias("least"))
+    kept = "query long, group long, n int, tokens binary"
+    qualified = stored(asked.join(unions, "group").select("query", "group", "n", "tokens", "union", "least").mapInArrow(bound, kept), "jaccard-qualified")
 
     def answer(batches):
         for batch in batches:
             links = []
-            for query, n, tokens, union, ids, ns, lengths, members in zip(*(c.to_pylist() for c in batch.columns)):
+            for query, n, tokens, ids, ns, lengths, members in zip(*(c.to_pylist() for c in batch.columns)):
                 own = _unpack(tokens)
-                inside = len(np.intersect1d(own, _unpack(union), assume_unique=True))
-                # similar sets share (n + m) * share / (1 + share) tokens at least
-                if inside * (SHARE[0] + SHARE[1]) < SHARE[0] * (n + min(ns)):
-                    continue
                 at = 0
                 for cls, m, length in zip(ids, ns, np.frombuffer(lengths, "<i4")):
                     if m >= _needed(n) and n >= _needed(m) and linked(own, _unpack(members[at : at + length]), n, m):
@@ -371,7 +382,8 @@ def group_links(many: DataFrame, membership: DataFrame, classes: DataFrame) -> D
                     at += length
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return asked.select("query", "n", "tokens", "union", "classes", "ns", "lengths", "sets").mapInArrow(answer, "a long, b long")
+    opened = qualified.join(matrix.select("group", "classes", "ns", "lengths", "sets"), "group")
+    return opened.select("query", "n", "tokens", "classes", "ns", "lengths", "sets").mapInArrow(answer, "a long, b long")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -431,14 +443,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: of each component the one with the smallest doc_id.
 
     Rows without words are all kept. Of rows that share the smallest id (a missing one counts as such) the one with the
-    smallest class and text digest stays.
+    smallest class and text digest stays; of rows that share the text too, one.
     """
     rows = stored(joined(docs), "jaccard-rows")
     order = F.struct("doc_id", "class_id", "text_key")
     best = rows.where("component is not null").groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1")
-    others = rows.join(best, "component").where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    of_several = rows.join(best, "component").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (order == F.col("best")).alias("_stays"))
+    decided = of_several.groupBy("_id", "_key", "_stays").agg(F.count("*").alias("_rows")).where("_rows > 1 or not _stays")
+    decided = stored(decided, "jaccard-dropped")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_key() == F.col("_key"))
-    return docs.join(broadcast_if_small(stored(others, "jaccard-dropped")), same, "left_anti")
+    once = docs.join(broadcast_if_small(decided), same, "left_anti")
+    repeated = decided.where("_stays")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(broadcast_if_small(repeated), same, "left_semi").withColumn("_key", _text_key())
+    return once.unionAll(again.dropDuplicates(["doc_id", "_key"]).drop("_key"))
 
 
 def _text_key() -> Column:
