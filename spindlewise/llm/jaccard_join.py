@@ -108,33 +108,18 @@ def _narrowed(tokens: np.ndarray) -> np.ndarray:
     return np.unique(tokens >> np.uint64(16))
 
 
-def described(texts: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """(doc_id, text_key, class, n) of every row, and its packed tokens where asked for; without words n is 0, class null."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "class", "n", "tokens"][: 4 + with_tokens]
-
-    def run(batches):
-        hashes = WordHash()
-        for rows in sliced(batches, 0):
-            found = [tokens_of(text, hashes) for text in rows.column(0).to_pylist()]
-            columns = [rows.column(1), rows.column(2), pa.array([_class(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int32())]
-            if with_tokens:
-                columns.append(pa.array([_pack(_narrowed(t)) for t in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def described(texts: DataFrame, slices: int) -> DataFrame:
+    """Stored results of one pass over the texts, told apart by ``slice``.
 
-    schema = f"doc_id {kind}, text_key binary, class long, n int" + ", tokens binary" * with_tokens
-    return texts.select("text", "doc_id", "text_key").mapInArrow(run, schema)
-
-
-def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent 32-bit token prefixes, ascending, and in how many texts they are.
-
-    Each task counts its texts' prefixes and sends them in compressed slices of the value range.
+    Where it is null, (doc_id, text_key, class, n) of a row; without words n is 0, class null. Elsewhere ``data`` holds token
+    prefixes of a slice of their values, and in how many of a task's texts each is: each task counts its own and sends
+    them compressed.
     """
-    slices = max(48, total // 2_000_000)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_key", "class", "n", "slice", "data"]
 
-    def count(batches):
-        held, size = [], 0
+    def run(batches):
+        held, size, like = [], 0, pa.int64()
 
         def send():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -143,12 +128,18 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             parts, each = np.split(values, cuts), np.split(counts, cuts)
             data = [zlib.compress(np.diff(v, prepend=np.uint32(0)).astype("<u4").tobytes() + c.astype("<u4").tobytes(), 1) for v, c in zip(parts, each)]
             at = [int(which[k]) for k in np.append(0, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
+            none = [pa.nulls(len(at), t) for t in (like, pa.binary(), pa.int64(), pa.int32())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=names)
 
         hashes = WordHash()
-        for batch in sliced(batches, 0):
-            for text in batch.column(0).to_pylist():
-                if len(tokens := tokens_of(text, hashes)):
+        for rows in sliced(batches, 0):
+            like = rows.column(1).type
+            found = [tokens_of(text, hashes) for text in rows.column(0).to_pylist()]
+            columns = [rows.column(1), rows.column(2), pa.array([_class(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int32())]
+            none = [pa.nulls(len(found), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *none], names=names)
+            for tokens in found:
+                if len(tokens):
                     held.append((tokens >> np.uint64(32)).astype(np.uint32))
                     size += len(held[-1])
                     if size > 2_000_000:
@@ -157,6 +148,27 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield send()
 
+    schema = f"doc_id {kind}, text_key binary, class long, n int, slice int, data binary"
+    return stored(texts.select("text", "doc_id", "text_key").mapInArrow(run, schema), "jaccard-documents")
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """(class, n, tokens) of every row, the tokens packed."""
+
+    def run(batches):
+        hashes = WordHash()
+        for rows in sliced(batches, 0):
+            found = [tokens_of(text, hashes) for text in rows.column(0).to_pylist()]
+            columns = [pa.array([_class(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int32())]
+            packed = pa.array([_pack(_narrowed(t)) for t in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, packed], names=["class", "n", "tokens"])
+
+    return texts.select("text").mapInArrow(run, "class long, n int, tokens binary")
+
+
+def frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent 32-bit token prefixes, ascending, and in how many texts they are, from what tasks counted."""
+
     def total_of(group: pa.Table) -> pa.Table:
         values, counts = [], []
         for data in group.column("data").to_pylist():
@@ -168,7 +180,7 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         often = texts >= SHORT
         return pa.table({"value": pa.array(value[often].astype(np.int64)), "texts": pa.array(texts[often])})
 
-    counts = texts.select("text").mapInArrow(count, "slice int, data binary").groupBy("slice").applyInArrow(total_of, "value long, texts long")
+    counts = counted.select("slice", "data").groupBy("slice").applyInArrow(total_of, "value long, texts long")
     top = counts.orderBy(F.desc("texts"), "value").limit(FREQUENT).toPandas().sort_values("value")
     return top["value"].to_numpy(np.uint64), top["texts"].to_numpy(np.int64)
 
@@ -292,7 +304,7 @@ def _sets_of(texts: DataFrame, narrow: DataFrame, ids: DataFrame) -> DataFrame:
     first = stored(first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key")), "jaccard-representatives")
     some = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
     same = texts["doc_id"].eqNullSafe(some["_id"]) & (texts["text_key"] == some["_key"])
-    return stored(described(texts.join(some, same, "left_semi"), with_tokens=True).select("class", "n", "tokens"), "jaccard-classes")
+    return stored(with_tokens(texts.join(some, same, "left_semi")), "jaccard-classes")
 
 
 def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -396,9 +408,11 @@ def joined(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     texts = texts_of(docs)
-    narrow = stored(described(texts), "jaccard-documents")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    both = described(texts, max(48, size // 12_000_000))
+    narrow = both.where("slice is null").select("doc_id", "text_key", "class", "n")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = postings(texts, frequent(texts, total), total)
+    found = postings(texts, frequent(both.where("slice is not null")), total)
     many = stored(found.where("kind = 'long'").select("token", F.col("a").alias("class"), "n", "place").distinct(), "jaccard-long")
     pairs = stored(found.where("kind = 'pair'").select("a", "b").distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(many.select("class")).distinct()
