@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spindlewise.contract.oracles import _AFR, CALENDAR, DAYS, MAKER, ORACLES, SNAPSHOTS, WIDE_MEASURES, _with
 from spindlewise.contract.parameters import MIN_DRIVES
-from spindlewise.contract.queries import Query, _fleet, _orders, _with_folder, comparable
+from spindlewise.contract.queries import Query, _fleet, _orders, _with_folder, comparable, stream_parts
 from spindlewise.fleet import DriveFleet
 from spindlewise.functions.calendar import quarter_text
 from spindlewise.functions.names import maker_label
@@ -64,8 +64,8 @@ def capacity_by_dc_stream(spark: SparkSession, folder: str) -> DataFrame:
     """From a store that a stream of daily rows fills, a part of the table in each batch."""
     parts = new_folder(_with_folder(spark), "daily-parts")
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
-    lineitem.repartition(3).write.parquet(parts)
-    stream = spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    files = stream_parts(lineitem, parts)
+    stream = spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", files).parquet(parts)
     store = SummaryStore(spark, new_folder(spark, "summary-store"))
     update_summary(as_drive_days(spark.sql(bridge.DRIVE_DAYS_SQL, lineitem=stream)), store, new_folder(spark, "summary-stream"))
     return comparable(DriveFleet(summary=store.summary()).capacity_by_datacenter())

@@ -23,6 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 6
 
+#: Of a table that is handed to a stream: rows of a file, batches at least, and files of a batch at most.
+PART_ROWS, LEAST_BATCHES, MOST_FILES = 1_000_000, 3, 16
+
 
 def comparable(df: DataFrame, doubles: tuple[type, ...] = (T.DoubleType, T.DecimalType)) -> DataFrame:
     """The same rows in types that read alike from either engine; exact bytes become text."""
@@ -52,6 +55,16 @@ def _with_folder(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stream_parts(table: DataFrame, path: str) -> int:
+    """Write all of ``table`` to files for a stream; how many of them are a batch.
+
+    Files and batches grow in number, not in rows, so no task gets more of a larger table.
+    """
+    files = max(1, -(-table.count() // (PART_ROWS * LEAST_BATCHES)))
+    table.repartition(files * LEAST_BATCHES).write.parquet(path)
+    return min(files, MOST_FILES)
+
+
 def _report(method: str, **arguments) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return comparable(getattr(_fleet(spark, folder), method)(**arguments))
@@ -126,12 +139,12 @@ def snapshot_dates_qtr_stream(spark: SparkSession, folder: str) -> DataFrame:
     # state is one row per quarter: a few partitions are enough
     own = _with_folder(spark).newSession()
     own.conf.set("spark.sql.shuffle.partitions", "4")
-    parts = new_folder(spark, "order-parts")  # a batch each
+    parts = new_folder(spark, "order-parts")
     written = _orders(spark, folder).select("o_orderkey", "o_orderdate")
-    written.repartition(3).write.parquet(parts)
+    files = stream_parts(written, parts)
     orders = (
         own.readStream.schema(written.schema)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files)
         .option("maxFileAge", NO_FILE_AGE)
         .parquet(parts)
     )
