@@ -13,6 +13,7 @@ import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from spindlewise.llm.common import arrow_rows
 
 _MASK = 0xFFFFFFFF
+_ENTRY = 40  # bytes that a dict has for an entry, about
 _LOOSE, _CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?= \S)")
 
 
@@ -91,10 +93,10 @@ def merged(piece: bytes, rank) -> list[int]:
     """Ids of a pre-token that is no token. ``rank`` gives the id of bytes, or None. n log n steps for n bytes.
 
     A heap entry is one number: rank, place of the left part and end of the right one, so equal ranks go left to right.
+    The list is linked by ends: a part ends where the next one begins, and one that was merged away leads past the last.
     """
     n = len(piece)
-    ids = [rank(piece[k : k + 1]) for k in range(n)]
-    after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    ends, before = [*range(1, n + 1), -1], list(range(-1, n))
     shift = n.bit_length()
     low = (1 << shift) - 1
     heap = [((r << shift | k) << shift) | k + 2 for k in range(n - 1) if (r := rank(piece[k : k + 2])) is not None]
@@ -103,54 +105,62 @@ def merged(piece: bytes, rank) -> list[int]:
     while heap:
         entry = pop(heap)
         end, left = entry & low, entry >> shift & low
-        right = after[left]
-        if ids[left] is None or right >= n or ends[right] != end:
+        right = ends[left]
+        if ends[right] != end:
             continue  # one of the two has been merged meanwhile
-        ids[left], ids[right] = entry >> 2 * shift, None
-        ends[left] = end
-        after[left] = following = after[right]
-        if following < n:
-            before[following] = left
-            if (r := rank(piece[left : ends[following]])) is not None:
-                push(heap, ((r << shift | left) << shift) | ends[following])
+        ends[left], ends[right] = end, n
+        before[end] = left
+        if end < n and (r := rank(piece[left : (following := ends[end])])) is not None:
+            push(heap, ((r << shift | left) << shift) | following)
         if (previous := before[left]) >= 0 and (r := rank(piece[previous:end])) is not None:
             push(heap, ((r << shift | previous) << shift) | end)
-    return [i for i in ids if i is not None]
+    ids, left = [], 0
+    while left < n:
+        if (r := rank(piece[left : ends[left]])) is not None:
+            ids.append(r)
+        left = ends[left]
+    return ids
 
 
 class Encoder(dict):
     """Ids (32-bit, packed) of runs of text, remembered for a bounded number of different short ones.
 
     A text is cut before each space that is followed by something else than white space. The pattern starts a match at
-    every such place, whatever stands before, so runs are encoded each on its own. When ``most`` runs are remembered they
-    become the older half of the memory, from which those that come again return.
+    every such place, whatever stands before, so runs are encoded each on its own, and only those of one match of the
+    pattern are remembered; others are put together from these. When ``most`` are remembered, or ``most_bytes`` with what
+    Python needs for them, they become the older half of the memory, from which those that come again return.
     """
 
-    def __init__(self, words: Vocabulary, pattern: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, words: Vocabulary, pattern: str, most: int = 300_000, longest: int = 64, most_bytes: int = 40 << 20):
         super().__init__()
         self.rank, self.pieces, self.most, self.longest = words.rank, regex.compile(pattern).findall, most, longest
         self.older: dict[str, bytes] = {}
+        self.most_bytes, self.bytes = most_bytes, 0
         self.pair = {token: rank for token, rank in words.slots}.get  # of merges, which ask for strangers mostly
 
     def __missing__(self, run: str) -> bytes:
         packed = self.older.pop(run, None)
         if packed is not None:
-            self[run] = packed
+            self._remember(run, packed)
             return packed
         pieces = self.pieces(run)
-        if len(pieces) == 1:
-            data = run.encode()
-            whole = self.rank(data)
-            packed = array("i", merged(data, self.pair) if whole is None else (whole,)).tobytes()
-        else:
-            packed = b"".join(map(self.__getitem__, pieces))
+        if len(pieces) != 1:
+            return b"".join(map(self.__getitem__, pieces))  # of parts that are remembered
+        data = run.encode()
+        whole = self.rank(data)
+        packed = array("i", merged(data, self.pair) if whole is None else (whole,)).tobytes()
         if len(run) <= self.longest:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[run] = packed
+            self._remember(run, packed)
         return packed
 
+    def _remember(self, run: str, packed: bytes) -> None:
+        if len(self) >= self.most or self.bytes >= self.most_bytes:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = 0
+        self[run] = packed
+        self.bytes += getsizeof(run) + getsizeof(packed) + _ENTRY
+
     def encode(self, text: str) -> np.ndarray:
         if _LOOSE.search(text):
             runs = _CUT.split(text)
@@ -159,9 +169,12 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, runs)), dtype=np.int32)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(words: Vocabulary, pattern: str) -> Encoder:
-    """One encoder in each Python process, so that tasks after the first find its memory filled."""
+    """One encoder in each Python process, so that tasks after the first find its memory filled.
+
+    Each query brings a vocabulary of its own, so a second place would only keep what an earlier query remembered.
+    """
     return Encoder(words, pattern)
 
 
@@ -189,14 +202,22 @@ def encoded(docs: DataFrame, words: Vocabulary, pattern: str) -> DataFrame:
 
 def decoder(words: Vocabulary, spark) -> Column:
     """Function from a column of ids to the bytes they stand for. Null ids give null; an unknown id is an error."""
-    shared = spark.sparkContext.broadcast(words)
+    tokens = pa.array([words.by_id.get(k) for k in range(max(words.by_id, default=-1) + 1)], pa.binary())
+    shared = spark.sparkContext.broadcast(tokens)
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        token, flat = shared.value.by_id.__getitem__, ids.values.to_numpy()
-        ends = ids.offsets.to_pylist()
-        found = (b"".join(map(token, flat[x:y].tolist())) for x, y in zip(ends, ends[1:]))
-        return pa.array([data if valid else None for data, valid in zip(found, ids.is_valid().to_pylist())], type=pa.binary())
+        ends = ids.offsets.to_numpy()
+        flat = ids.values[ends[0] : ends[-1]] if len(ids) else []
+        if not len(flat):
+            return pa.array([b"" if valid else None for valid in ids.is_valid().to_pylist()], type=pa.binary())
+        found = shared.value.take(flat)  # the bytes of all tokens in a row, so a text ends where its last token does
+        if found.null_count:
+            raise KeyError("ids that stand for no token")
+        _, token_ends, data = found.buffers()
+        text_ends = np.frombuffer(token_ends, np.int32)[ends - ends[0]]
+        valid = pa.array(ids.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [valid, pa.py_buffer(text_ends), data])
 
     return decode
 

@@ -1,11 +1,14 @@
 """The operators on hand-made edge cases and against plain versions."""
 
 import collections
+import gc
 import hashlib
 import io
 import itertools
 import random
 import re
+import sys
+import weakref
 import zipfile
 
 import numpy as np
@@ -162,6 +165,34 @@ def test_bpe_equals_the_public_library(spark):
     assert all(small.encode(t).tolist() == other.encode_ordinary(t) for t in texts for _ in range(2))
 
 
+def test_bpe_decodes_null_empty_and_strange_ids(spark):
+    words = byte_bpe.vocabulary({b"a": 0, b"bcd": 1, "\u00e9".encode(): 3})
+    decode = byte_bpe.decoder(words, spark)
+    rows = spark.createDataFrame([(0, None), (1, []), (2, [1, 0, 3]), (3, None), (4, [0])], "k int, ids array<int>").coalesce(1)
+    got = {r.k: r.text for r in rows.select("k", decode("ids").alias("text")).collect()}
+    assert got == {0: None, 1: b"", 2: b"bcda\xc3\xa9", 3: None, 4: b"a"}
+    assert [r.text for r in rows.filter("k < 2").orderBy("k").select(decode("ids").alias("text")).collect()] == [None, b""]
+    for strange in (2, 4, -1):
+        with pytest.raises(Exception, match="KeyError|IndexError|out of bounds"):
+            spark.createDataFrame([([strange],)], "ids array<int>").select(decode("ids")).collect()
+
+
+def test_bpe_remembers_a_bounded_number_of_bytes():
+    words = byte_bpe.vocabulary({bytes([k]): k for k in range(256)})
+    encoder = byte_bpe.Encoder(words, r"\w+|\W", most=3)
+    for run in ("a", "b", "c", "d", "a", "b", "c", "a,b", "d"):
+        assert encoder.encode(run).tolist() == list(run.encode())
+        assert len(encoder) <= 3 and len(encoder.older) <= 3
+    large = byte_bpe.Encoder(words, r"\w+|\W", most_bytes=20_000)
+    for k in range(2_000):
+        large.encode(f"{k:x}" * 9)
+    assert all(sum(sys.getsizeof(x) for item in half.items() for x in item) <= 20_000 for half in (large, large.older))
+    kept = weakref.ref(byte_bpe._encoder(words, r"\w+"))
+    byte_bpe._encoder(byte_bpe.vocabulary({b"a": 0}), r"\w+")
+    gc.collect()
+    assert kept() is None  # what an earlier query remembered is gone
+
+
 def test_boundaries_have_the_least_padding():
     random.seed(2)
     for _ in range(100):
