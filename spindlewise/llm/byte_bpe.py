@@ -26,6 +26,7 @@ from spindlewise.llm.common import arrow_rows
 
 _MASK = 0xFFFFFFFF
 _ENTRY = 40  # bytes that a dict has for an entry, about
+_SHORT = 24
 _LOOSE, _CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?= \S)")
 
 
@@ -126,8 +127,8 @@ class Encoder(dict):
     """Ids (32-bit, packed) of runs of text, remembered for a bounded number of different short ones.
 
     A text is cut before each space that is followed by something else than white space. The pattern starts a match at
-    every such place, whatever stands before, so runs are encoded each on its own, and only those of one match of the
-    pattern are remembered; others are put together from these. When ``most`` are remembered, or ``most_bytes`` with what
+    every such place, whatever stands before, so runs are encoded each on its own. Those of one match of the pattern are
+    remembered; others are put together from these, and a sixth as many, very short ones, are kept beside. When ``most`` are remembered, or ``most_bytes`` with what
     Python needs for them, they become the older half of the memory, from which those that come again return.
     """
 
@@ -136,16 +137,25 @@ class Encoder(dict):
         self.rank, self.pieces, self.most, self.longest = words.rank, regex.compile(pattern).findall, most, longest
         self.older: dict[str, bytes] = {}
         self.most_bytes, self.bytes = most_bytes, 0
+        self.joined: dict[str, bytes] = {}
         self.pair = {token: rank for token, rank in words.slots}.get  # of merges, which ask for strangers mostly
 
     def __missing__(self, run: str) -> bytes:
+        packed = self.joined.get(run)
+        if packed is not None:
+            return packed
         packed = self.older.pop(run, None)
         if packed is not None:
             self._remember(run, packed)
             return packed
         pieces = self.pieces(run)
         if len(pieces) != 1:
-            return b"".join(map(self.__getitem__, pieces))  # of parts that are remembered
+            packed = b"".join(map(self.__getitem__, pieces))
+            if len(run) <= _SHORT:
+                if len(self.joined) >= self.most // 6:
+                    self.joined.clear()
+                self.joined[run] = packed
+            return packed
         data = run.encode()
         whole = self.rank(data)
         packed = array("i", merged(data, self.pair) if whole is None else (whole,)).tobytes()
